@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, find_pii, label
+
+    found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    count = lambda nth: F.size(F.filter("spans", lambda x: x["kind"] == nth)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] < len(BASE))
+    return found.select("doc_id", *(count(i).alias(f"n_{kind}") for i, kind in enumerate(BASE)), F.sha2(label(base), 256).alias("base_sha256"), label(F.col("spans")).alias("spans"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -46,4 +55,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op2_suffix_dedup, op5_mixing, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op5_mixing, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
