@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+#: A public SentencePiece model; the path is a parameter of the operator.
+MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import decode, encode
+
+    coded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE), MODEL_FILE)
+    return coded.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -55,4 +67,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op5_mixing, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op5_mixing, op7_sentencepiece, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
