@@ -38,6 +38,35 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import rotate
+
+    out = rotate(_table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return out.select("conv_id", "speaker", "chunk", "n_turns", "rendered", spans.alias("mask_spans"))
+
+
+ORACLES["op6_chat_rotation"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, floor(turn / 64.0)::BIGINT AS chunk
+  FROM conversations
+), s AS (SELECT DISTINCT conv_id, role AS speaker FROM t),
+p AS (
+  SELECT t.*, speaker,
+    CASE WHEN role = speaker THEN '<|assistant|>' ELSE '<|user:' || replace(role, '|>', '| >') || '|>' END || chr(10) AS head,
+    text || '<|end|>' || chr(10) AS body
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+), o AS (
+  SELECT *, row_number() OVER w AS nth,
+    sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, chunk ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto
+  FROM p WINDOW w AS (PARTITION BY conv_id, speaker, chunk ORDER BY turn, role, text)
+)
+SELECT conv_id, speaker, chunk, count(*) AS n_turns, string_agg(head || body, '' ORDER BY nth) AS rendered,
+  coalesce(string_agg((upto - length(body))::BIGINT || ':' || upto::BIGINT, ',' ORDER BY nth) FILTER (WHERE role = speaker), '') AS mask_spans
+FROM o GROUP BY conv_id, speaker, chunk
+"""
+
+
 #: A public SentencePiece model; the path is a parameter of the operator.
 MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -67,4 +96,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op5_mixing, op7_sentencepiece, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op5_mixing, op6_chat_rotation, op7_sentencepiece, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
