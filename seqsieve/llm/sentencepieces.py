@@ -28,7 +28,7 @@ from .kernels import multi_range, text_bytes
 
 SPACE = "\u2581"
 #: Text gathered before units are made distinct, characters indexed at once, units remembered by a worker.
-GATHER, INDEX, KNOWN = 8 << 20, 500_000, 600_000
+GATHER, INDEX, KNOWN = 16 << 20, 500_000, 1_000_000
 #: Units longer than this are merged one by one with a heap.
 LONG = 64
 NONE = np.iinfo(np.int64).max
@@ -285,8 +285,8 @@ class _Memory:
         return self.at[which], self.at[which + 1] - self.at[which]
 
 
-def encode_texts(texts: pa.Array, pieces: Pieces, memory: _Memory) -> pa.Array:
-    """Packed little-endian int32 token ids of each text; null and empty texts have none."""
+def encode_texts(texts: pa.Array, pieces: Pieces, memory: _Memory) -> tuple[np.ndarray, np.ndarray]:
+    """Little-endian int32 token ids of all texts, and their n+1 bounds; null and empty texts have none."""
     texts = texts.cast(pa.large_string()).fill_null("")
     odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.starts_with(texts, " ")).to_numpy(zero_copy_only=False)
     parts = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
@@ -313,8 +313,15 @@ def encode_texts(texts: pa.Array, pieces: Pieces, memory: _Memory) -> pa.Array:
     first, size = memory.tokens(units, pieces)
     n = size[unit]
     flat = memory.flat[np.repeat(first[unit], n) + multi_range(n)]
-    ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(count))]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((ends * 4).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat, "<i4"))]).cast(pa.binary())
+    return flat.astype("<i4"), np.append(0, np.cumsum(n))[np.append(0, np.cumsum(count))]
+
+
+def packed(flat: np.ndarray, bounds: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Binary array of flat[bounds[i]:bounds[i+1]]."""
+    part = np.ascontiguousarray(flat[bounds[0] : bounds[-1]])
+    offsets = ((bounds - bounds[0]) * part.itemsize).astype(np.int32)
+    bits = None if valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(valid), [bits, pa.py_buffer(offsets), pa.py_buffer(part)])
 
 
 _memory: dict[str, _Memory] = {}
@@ -338,13 +345,13 @@ def encode(documents: DataFrame, model_file: str, column: str = "text") -> DataF
 
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = pa.concat_arrays([b.column(column).cast(pa.large_string()) for b in held])
-            tokens, at = encode_texts(texts, pieces, memory), 0
+            flat, bounds = encode_texts(texts, pieces, memory)
+            at = 0
             for b in held:
-                own = tokens.slice(at, b.num_rows)
+                own = bounds[at : at + b.num_rows + 1]
                 at += b.num_rows
-                size = pc.divide(pc.binary_length(own), 4).cast(pa.int64())
-                own = pc.if_else(pc.is_valid(b.column(column)), own, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*b.columns, size, own], names=names)
+                valid = b.column(column).is_valid().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(own), pa.int64()), packed(flat, own, valid)], names=names)
 
         held, size = [], 0
         for batch in batches:
