@@ -32,6 +32,29 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import backoff_scores
+
+    return backoff_scores(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("logprob", 3).alias("logprob"))
+
+
+ORACLES["op4_lm_scoring"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t0 AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS p FROM d),
+t AS (SELECT r, p, w, lag(w) OVER x AS v, lag(w, 2) OVER x AS u FROM t0 WINDOW x AS (PARTITION BY r ORDER BY p)),
+c1 AS (SELECT w, count(*) AS n1 FROM t GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n2 FROM t WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS n3 FROM t WHERE u IS NOT NULL GROUP BY u, v, w),
+s AS (SELECT t.r, p, ln(c1.n1 / (SELECT count(*) FROM t)::DOUBLE) AS s1,
+    CASE WHEN p >= 1 AND c2.n2 >= 2 THEN ln(c2.n2 / b1.n1::DOUBLE) END AS s2,
+    CASE WHEN p >= 2 AND c3.n3 >= 2 THEN ln(c3.n3 / b2.n2::DOUBLE) END AS s3
+  FROM t JOIN c1 USING (w) LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w LEFT JOIN c1 b1 ON b1.w = t.v
+  LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w LEFT JOIN c2 b2 ON b2.v = t.u AND b2.w = t.v),
+y AS (SELECT r, sum(coalesce(s3, CASE WHEN p >= 2 THEN ln(0.4) ELSE 0 END + coalesce(s2, CASE WHEN p >= 1 THEN ln(0.4) ELSE 0 END + s1))) AS total FROM s GROUP BY r)
+SELECT doc_id, len(w) AS n_words, round(coalesce(total, 0), 3) AS logprob FROM d LEFT JOIN y USING (r)
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -96,4 +119,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op5_mixing, op6_chat_rotation, op7_sentencepiece, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op4_lm_scoring, op5_mixing, op6_chat_rotation, op7_sentencepiece, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
