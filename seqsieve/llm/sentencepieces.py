@@ -28,7 +28,7 @@ from .kernels import multi_range, text_bytes
 
 SPACE = "\u2581"
 #: Text gathered before units are made distinct, characters indexed at once, units remembered by a worker.
-GATHER, INDEX, KNOWN = 16 << 20, 500_000, 1_000_000
+GATHER, INDEX, KNOWN = 8 << 20, 500_000, 400_000
 #: Units longer than this are merged one by one with a heap.
 LONG = 64
 NONE = np.iinfo(np.int64).max
