@@ -32,6 +32,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .image_copies import image_copies, rendered
+
+    return image_copies(rendered(_table(spark, sf_dir, "embeddings")))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import backoff_scores
 
@@ -119,4 +125,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op4_lm_scoring, op5_mixing, op6_chat_rotation, op7_sentencepiece, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_image_copies, op4_lm_scoring, op5_mixing, op6_chat_rotation, op7_sentencepiece, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
