@@ -165,13 +165,13 @@ def arrow_minimizers(records: DataFrame, params: KmerParams, seq: str = "seq", i
 
 
 def sql_minimizers(records: DataFrame, params: KmerParams, seq: str = "seq", ids: tuple[str, ...] = ("record_no",)) -> DataFrame:
-    """(ids, pos, kmer as string) by window functions; one exchange, and the windows share its sort."""
+    """(ids, pos, kmer as string) by window functions that share one exchange and sort; ids must be unique and not null."""
     k, w, span = params.k, params.w, params.span
     code = lambda t: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b in "ACGT" for x in (b, t[b])]), F.col("base")), F.lit(0))
     def bits(a: Column, b: Column) -> Column:
         return a.bitwiseXOR(b)
 
-    bases = records.where(F.length(seq) >= span).select(*ids, F.col(seq).alias("seq_"), F.posexplode(F.split(F.upper(seq), "")).alias("p", "base")).where("base <> ''")
+    bases = records.where(F.length(seq) >= span).select(*ids, F.posexplode(F.split(F.upper(seq), "")).alias("p", "base")).where("base <> ''")
     bases = bases.withColumn("p", F.col("p").cast("long")).withColumn("f", code(CODE).cast("long")).withColumn("c", code({b: CODE[PAIR[b]] for b in PAIR}).cast("long"))
     bases = bases.withColumn("rf", _rot("f", "-p")).withColumn("rc", _rot("c", "p"))
     order = Window.partitionBy(*ids).orderBy("p")
@@ -179,7 +179,7 @@ def sql_minimizers(records: DataFrame, params: KmerParams, seq: str = "seq", ids
     bases = bases.withColumn("pf", F.bit_xor("rf").over(run)).withColumn("pr", F.bit_xor("rc").over(run))
     frame = order.rowsBetween(0, span - 1)
     step = bases.select(
-        *ids, "seq_", "p",
+        *ids, "p",
         bits(F.lead("pf", k - 1).over(order), F.coalesce(F.lag("pf").over(order), F.lit(0))).alias("xf"),
         bits(F.lead("pr", k - 1).over(order), F.coalesce(F.lag("pr").over(order), F.lit(0))).alias("xr"),
         F.sum(F.when(F.col("base").isin(*"ACGT"), 0).otherwise(1)).over(frame).alias("amb"),
@@ -188,9 +188,11 @@ def sql_minimizers(records: DataFrame, params: KmerParams, seq: str = "seq", ids
     )
     step = step.withColumn("h", (_rot("xf", f"p + {k - 1}") + _rot("xr", "-p")).bitwiseAND(F.lit(M32).cast("long")))
     near = order.rowsBetween(0, w - 1)
-    step = step.select(*ids, "seq_", "p", "amb", "gt", "n", F.min(F.struct("h", "p")).over(near).alias("lo"), F.min(F.struct("h", (-F.col("p")).alias("q"))).over(near).alias("hi"))
+    step = step.select(*ids, "p", "amb", "gt", "n", F.min(F.struct("h", "p")).over(near).alias("lo"), F.min(F.struct("h", (-F.col("p")).alias("q"))).over(near).alias("hi"))
     step = step.where((F.col("n") == span) & (F.col("amb") == 0)).withColumn("m", F.when(2 * F.col("gt") > span, F.col("lo.p")).otherwise(-F.col("hi.q")))
     step = step.withColumn("prev", F.lag("m").over(order)).where("prev is null or prev <> m")
+    # bases travel alone; the sequence joins the few rows that are left
+    step = step.select(*ids, "m").join(records.select(*ids, F.col(seq).alias("seq_")), list(ids))
     kmer = F.upper(F.col("seq_").substr(F.col("m").cast("int") + 1, F.lit(k)))
     return step.select(*ids, F.col("m").cast("int").alias("pos"), F.least(kmer, F.translate(F.reverse(kmer), "ACGT", "TGCA")).alias("kmer"))
 

@@ -31,16 +31,16 @@ def minimizers(name: str, source: str, k: int, w: int) -> str:
     span = k + w - 1
     case = lambda t: "CASE c " + " ".join(f"WHEN '{b}' THEN {t[b]}" for b in "ACGT") + " ELSE 0 END"
     over = "PARTITION BY id ORDER BY pos"
-    return f"""{name}_1 AS (SELECT id, seq, pos, substr(seq, pos + 1, 1) AS c FROM (SELECT id, seq, unnest(range(length(seq))) AS pos FROM {source} WHERE length(seq) >= {span})),
+    return f"""{name}_1 AS (SELECT id, pos, substr(seq, pos + 1, 1) AS c FROM (SELECT id, seq, unnest(range(length(seq))) AS pos FROM {source} WHERE length(seq) >= {span})),
 {name}_2 AS (SELECT *, bit_xor({_rotr(case(CODE), 'pos')}) OVER (w ROWS UNBOUNDED PRECEDING) AS pf, bit_xor({_rotl(case({b: CODE[PAIR[b]] for b in PAIR}), 'pos')}) OVER (w ROWS UNBOUNDED PRECEDING) AS pr FROM {name}_1 WINDOW w AS ({over})),
-{name}_3 AS (SELECT id, seq, pos, xor(lead(pf, {k - 1}) OVER w, coalesce(lag(pf) OVER w, 0)) AS xf, xor(lead(pr, {k - 1}) OVER w, coalesce(lag(pr) OVER w, 0)) AS xr,
+{name}_3 AS (SELECT id, pos, xor(lead(pf, {k - 1}) OVER w, coalesce(lag(pf) OVER w, 0)) AS xf, xor(lead(pr, {k - 1}) OVER w, coalesce(lag(pr) OVER w, 0)) AS xr,
   sum((c NOT IN ('A', 'C', 'G', 'T'))::INT) OVER f AS amb, sum((c IN ('G', 'T'))::INT) OVER f AS gt, count(*) OVER f AS n
   FROM {name}_2 WINDOW w AS ({over}), f AS ({over} ROWS BETWEEN CURRENT ROW AND {span - 1} FOLLOWING)),
 {name}_4 AS (SELECT *, ({_rotl('xf', f'pos + {k - 1}')} + {_rotr('xr', 'pos')}) & {M32} AS h FROM {name}_3),
 {name}_5 AS (SELECT *, min(h * 1048576 + pos) OVER f AS lo, min(h * 1048576 + 1048575 - pos) OVER f AS hi FROM {name}_4 WINDOW f AS ({over} ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)),
-{name}_6 AS (SELECT id, seq, pos AS p0, CASE WHEN 2 * gt > {span} THEN lo % 1048576 ELSE 1048575 - hi % 1048576 END AS pos FROM {name}_5 WHERE n = {span} AND amb = 0),
+{name}_6 AS (SELECT id, pos AS p0, CASE WHEN 2 * gt > {span} THEN lo % 1048576 ELSE 1048575 - hi % 1048576 END AS pos FROM {name}_5 WHERE n = {span} AND amb = 0),
 {name}_7 AS (SELECT *, lag(pos) OVER (PARTITION BY id ORDER BY p0) AS prev FROM {name}_6),
-{name} AS (SELECT id, pos::INT AS pos, least(substr(seq, pos + 1, {k}), {revcomp(f'substr(seq, pos + 1, {k})')}) AS kmer FROM {name}_7 WHERE prev IS NULL OR prev <> pos)"""
+{name} AS (SELECT id, pos::INT AS pos, least(substr(seq, pos + 1, {k}), {revcomp(f'substr(seq, pos + 1, {k})')}) AS kmer FROM {name}_7 JOIN {source} USING (id) WHERE prev IS NULL OR prev <> pos)"""
 
 
 def index(name: str, table: str, text: str, k: int, w: int) -> str:
