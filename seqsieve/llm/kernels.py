@@ -86,9 +86,21 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(BASE_INV, len(prefix))[start])
 
 
+#: Bytes whose prefix sums are held at once.
+PIECE = 1 << 20
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hashes of words given in order; they depend on the words only."""
     code = BYTE_CODE[LOWER] if lower else BYTE_CODE
-    return span_hash(prefix_hash(data, code), starts, ends)
+    out, at = np.empty(len(starts), U), 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + PIECE, "right")))
+        sums = prefix_hash(data[low : int(ends[to - 1])], code)
+        out[at:to] = span_hash(sums, starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
 
 
 SHINGLE_BASE = 0xD6E8FEB86659FD93

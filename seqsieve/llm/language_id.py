@@ -80,19 +80,23 @@ def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     got = sorted((r["lang"], bytes(r["bits"])) for r in sample.limit(2 * SAMPLE).collect())
     if not got:
         return [], np.zeros((SLOTS, 0), np.float32)
-    x = np.unpackbits(np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
+    bits_of = lambda rows: np.unpackbits(np.frombuffer(b"".join(got[i][1] for i in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
     langs = sorted({lang for lang, _ in got})
     y = np.where(np.array([lang for lang, _ in got])[:, None] == np.array(langs)[None, :], 1.0, -1.0)
-    norm = np.sqrt(x.sum(1))
     pick = np.random.default_rng(0).permutation(len(got))[:LANDMARKS]
-    z = x[pick] / norm[pick, None]
-    kernel = (x @ z.T).astype(np.float64) / norm[:, None]
+    z = bits_of(pick)
+    z /= np.sqrt(z.sum(1, keepdims=True))
+    kernel = []
+    for at in range(0, len(got), ROWS):
+        x = bits_of(range(at, min(at + ROWS, len(got))))
+        kernel.append((x @ z.T).astype(np.float64) / np.sqrt(x.sum(1, keepdims=True)))
+    kernel = np.concatenate(kernel)
     value, vector = np.linalg.eigh(kernel[pick])
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     feature = kernel @ root
     weight = np.linalg.solve(feature.T @ feature + RIDGE * len(got) / 100 * np.eye(feature.shape[1]), feature.T @ y)
-    return langs, (z.T.astype(np.float64) @ (root @ weight)).astype(np.float32)
+    return langs, z.T @ (root @ weight).astype(np.float32)
 
 
 def predict(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

@@ -91,7 +91,8 @@ class _Block:
             yield int(part[own[0]]), value[own], count[own]
 
     def asked(self, block: int, k: int) -> list[tuple]:
-        return [(part, k, block, _packed(np.diff(value, prepend=U(0))), _packed(count.astype(np.uint32))) for part, value, count in self.lists(k)]
+        # of a hash, its partition is the remainder: the quotient is all that has to travel
+        return [(part, k, block, _packed(np.diff(value // U(self.parts), prepend=U(0))), _packed(count.astype(np.uint32))) for part, value, count in self.lists(k)]
 
     def told(self, k: int, answers: dict[int, bytes]) -> None:
         flat = []

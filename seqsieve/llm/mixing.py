@@ -105,35 +105,36 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return now.drop("lack")
 
 
-def _below(h: str) -> Column:
+def _below(h: str, plan: str = "") -> Column:
     """1 if the leading `used` bits of h are below `at`, as unsigned numbers."""
-    lead = F.expr(f"shiftrightunsigned({h}, cast(64 - used as int))")
-    whole = F.expr(f"cast(({h} ^ shiftleft(1L, 63)) < (at ^ shiftleft(1L, 63)) as long)")
-    return F.when(F.col("used") < 64, (lead < F.col("at")).cast("long")).otherwise(whole)
+    at, used = f"{plan}at", f"{plan}used"
+    lead = F.expr(f"shiftrightunsigned({h}, cast(64 - {used} as int))")
+    whole = F.expr(f"cast(({h} ^ shiftleft(1L, 63)) < ({at} ^ shiftleft(1L, 63)) as long)")
+    return F.when(F.col(used) < 64, (lead < F.col(at)).cast("long")).otherwise(whole)
 
 
 def with_copies(rows: DataFrame, decided: DataFrame, h: Column, count: int) -> DataFrame:
-    """rows (source, ...) with source_size, target and copies."""
-    names = ["source_size", "target", "whole", "at", "used", "picks"]
-    small = decided.select(F.col("source").alias("source_"), *names)
+    """rows (source, ...) with plan_mix_ (the source's thresholds) and copies_mix_."""
+    small = decided.select(F.col("source").alias("source_mix_"), F.struct("source_size", "target", "whole", "at", "used", "picks").alias("plan_mix_"))
     if count <= BROADCAST_SOURCES:
         small = F.broadcast(small)
-    joined = rows.withColumn("h_", h).join(small, F.col("source").eqNullSafe(F.col("source_")), "left")
-    extra = F.greatest(_below("h_"), F.array_contains("picks", F.col("h_")).cast("long"))
-    return joined.withColumn("copies", F.col("whole") + extra).drop("h_", "source_", "whole", "at", "used", "picks")
+    joined = rows.withColumn("h_mix_", h).join(small, F.col("source").eqNullSafe(F.col("source_mix_")), "left")
+    extra = F.greatest(_below("h_mix_", "plan_mix_."), F.array_contains("plan_mix_.picks", F.col("h_mix_")).cast("long"))
+    return joined.withColumn("copies_mix_", F.col("plan_mix_.whole") + extra).drop("h_mix_", "source_mix_")
 
 
 def mix(documents: DataFrame, share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents (doc_id, source, text).
 
     A null text has size 0; a null source is a source of its own, last in order. Copies of a text
-    with different ids are decided one by one; rows equal in id and text are taken together. Other
+    with different ids are decided one by one; rows equal in id and text are taken together. What a
+    source takes is within half of its largest document of the target, and mostly far nearer. Other
     columns are ignored; an empty table gives an empty table. Reruns agree.
     """
     sizes = materialize(word_counts(documents))
     decided = materialize(thresholds(sizes, targets(sizes, share, limit)))
     out = with_copies(sizes, decided, F.col("h"), decided.count())
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "plan_mix_.source_size", "plan_mix_.target", (F.col("copies_mix_") * F.col("size")).alias("taken"))
 
 
 def mixed(documents: DataFrame, share: float = 1.5, limit: float = 2.0) -> DataFrame:
@@ -141,5 +142,5 @@ def mixed(documents: DataFrame, share: float = 1.5, limit: float = 2.0) -> DataF
     sizes = materialize(word_counts(documents))
     decided = materialize(thresholds(sizes, targets(sizes, share, limit)))
     out = with_copies(documents, decided, row_hash(), decided.count())
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return out.where("copies > 0").withColumn("copy_", times).select(*documents.columns)
+    times = F.explode(F.sequence(F.lit(1), F.col("copies_mix_").cast("int")))
+    return out.where("copies_mix_ > 0").withColumn("copy_mix_", times).select(*documents.columns)

@@ -239,7 +239,7 @@ def find_pii(documents: DataFrame, weight: dict[str, float] | None = None) -> Da
     """documents with spans: array<struct<start, kind, end>> (code points, end exclusive; kind indexes KINDS), by start, then kind.
 
     A null text counts as empty. Rows are independent, so repeated rows get equal spans; an empty
-    table gives an empty table; other columns stay as they are.
+    table gives an empty table; other columns stay as they are, but for one named spans, which is replaced.
     """
     weight = fit(documents) if weight is None else weight
     return documents.withColumn("spans", pii_spans(F.coalesce("text", F.lit("")), weight))
@@ -253,7 +253,8 @@ def label(spans: Column) -> Column:
 
 def redact(documents: DataFrame, weight: dict[str, float] | None = None) -> DataFrame:
     """documents with each span of the text replaced by its kind in brackets; overlapping spans give one. A null text stays null."""
-    found = find_pii(documents, weight)
+    weight = fit(documents) if weight is None else weight
+    found = documents.withColumn("spans_pii_", pii_spans(F.coalesce("text", F.lit("")), weight))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def step(acc: Column, x: Column) -> Column:
@@ -261,5 +262,5 @@ def redact(documents: DataFrame, weight: dict[str, float] | None = None) -> Data
         apart = x["start"] >= acc["pos"]
         return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(apart, F.concat(acc["out"], gap, F.element_at(names, x["kind"] + 1))).otherwise(acc["out"]).alias("out"))
 
-    text = F.aggregate("spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["pos"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*documents.columns)
+    text = F.aggregate("spans_pii_", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["pos"] + 1, F.length("text"))))
+    return found.withColumn("text", F.when(F.size("spans_pii_") > 0, text).otherwise(F.col("text"))).select(*documents.columns)

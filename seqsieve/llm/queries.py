@@ -101,9 +101,9 @@ MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sentencepieces import decode, encode
+    from .sentencepieces import encode
 
-    coded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE), MODEL_FILE)
+    coded = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE, decoded="decoded")
     return coded.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

@@ -28,7 +28,7 @@ from .kernels import multi_range, text_bytes
 
 SPACE = "\u2581"
 #: Text gathered before units are made distinct, characters indexed at once, units remembered by a worker.
-GATHER, INDEX, KNOWN = 8 << 20, 500_000, 400_000
+GATHER, INDEX, KNOWN = 4 << 20, 200_000, 250_000
 #: Units longer than this are merged one by one with a heap.
 LONG = 64
 NONE = np.iinfo(np.int64).max
@@ -327,18 +327,21 @@ def packed(flat: np.ndarray, bounds: np.ndarray, valid: np.ndarray) -> pa.Array:
 _memory: dict[str, _Memory] = {}
 
 
-def encode(documents: DataFrame, model_file: str, column: str = "text") -> DataFrame:
+def encode(documents: DataFrame, model_file: str, column: str = "text", decoded: str | None = None) -> DataFrame:
     """documents with n_tokens (long) and tokens: packed little-endian int32 ids of the whole text.
 
+    With `decoded`, a column of that name holds what the ids decode to, made in the same pass.
+
     A null or empty text has no tokens (a null text has null tokens). Rows are independent, so
     repeated rows agree; an empty table gives an empty table. Other columns stay, but for ones named
     n_tokens or tokens, which are replaced.
     """
     prepare(documents.sparkSession)
-    documents = documents.drop("n_tokens", "tokens")
+    added = ["n_tokens", "tokens", *[decoded] * bool(decoded)]
+    documents = documents.drop(*added)
     pieces = Pieces(model_file)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, n_tokens long, tokens binary"
-    names = [*documents.columns, "n_tokens", "tokens"]
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, n_tokens long, tokens binary" + f", `{decoded}` string" * bool(decoded)
+    names = [*documents.columns, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory.setdefault(model_file, _Memory())
@@ -351,7 +354,10 @@ def encode(documents: DataFrame, model_file: str, column: str = "text") -> DataF
                 own = bounds[at : at + b.num_rows + 1]
                 at += b.num_rows
                 valid = b.column(column).is_valid().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(own), pa.int64()), packed(flat, own, valid)], names=names)
+                out = [*b.columns, pa.array(np.diff(own), pa.int64()), packed(flat, own, valid)]
+                if decoded:
+                    out.append(decode_texts(flat[own[0] : own[-1]], own - own[0], valid, pieces))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
         held, size = [], 0
         for batch in batches:
@@ -367,6 +373,16 @@ def encode(documents: DataFrame, model_file: str, column: str = "text") -> DataF
     return documents.mapInArrow(run, schema)
 
 
+def decode_texts(ids: np.ndarray, bounds: np.ndarray, valid: np.ndarray, pieces: Pieces) -> pa.Array:
+    """Text of ids[bounds[i]:bounds[i+1]], without the space put before it; null where not valid."""
+    ids = ids.astype(np.int64)
+    first, size = pieces.bytes_at[ids], pieces.bytes_at[ids + 1] - pieces.bytes_at[ids]
+    flat = pieces.bytes[np.repeat(first, size) + multi_range(size)]
+    ends = np.append(0, np.cumsum(size))[bounds]
+    texts = [flat[a + 1 : b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return pa.array(texts, pa.string(), mask=~valid)
+
+
 def decode(documents: DataFrame, model_file: str, tokens: str = "tokens", into: str = "decoded") -> DataFrame:
     """documents with the text of packed token ids; null tokens give null, none give the empty text."""
     prepare(documents.sparkSession)
@@ -377,12 +393,8 @@ def decode(documents: DataFrame, model_file: str, tokens: str = "tokens", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column(tokens))
-            ids = np.frombuffer(data.tobytes(), "<i4").astype(np.int64)
-            first, size = pieces.bytes_at[ids], pieces.bytes_at[ids + 1] - pieces.bytes_at[ids]
-            flat = pieces.bytes[np.repeat(first, size) + multi_range(size)]
-            ends = np.append(0, np.cumsum(size))[off // 4]
-            texts = [flat[a + 1 : b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            out = pc.if_else(pc.is_valid(batch.column(tokens)), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
+            valid = batch.column(tokens).is_valid().to_numpy(zero_copy_only=False)
+            out = decode_texts(np.frombuffer(data.tobytes(), "<i4"), off // 4, valid, pieces)
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
 
     return documents.mapInArrow(run, schema)
