@@ -13,7 +13,8 @@ from seqsieve.llm.queries import MODEL_FILE
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts and texts without a letter."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    return language_id.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    told = language_id.predict(docs.select(F.struct("*").alias("row"), "text"), model)
+    return told.where("lang_pred <> 'und'").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of whole texts, packed as little-endian int32, with what the text decodes to agreeing."""
-    coded = sentencepieces.decode(sentencepieces.encode(docs.select("doc_id", "text", "lang", "source"), MODEL_FILE), MODEL_FILE)
+    coded = sentencepieces.encode(docs.select("doc_id", "text", "lang", "source"), MODEL_FILE, decoded="decoded")
     return coded.select("doc_id", "lang", "source", "n_tokens", "tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

@@ -107,7 +107,7 @@ def dump(index: MinimizerIndex) -> DataFrame:
     Numbers come from a range exchange and the counts of its partitions, so no single task sees all rows.
     """
     _exact(index)
-    return number_rows(index.kmers.select(spelled(index.params).alias("kmer")), ["kmer"], "n")
+    return number_rows(index.kmers.select(spelled(index.params).alias("kmer")), ["kmer"], "n").select("n", "kmer")
 
 
 def number_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -106,14 +106,14 @@ def import_idx(spark: SparkSession, path: str, rows_at_once: int = 1 << 20) -> M
     params, size, count = KmerParams(head["k"], head["w"]), -(-head["k"] // 4), head["count"]
     if os.path.getsize(path) != HEAD.size + count * size:
         raise CorruptIndexError(f"{path}: {count} k-mers announced, {(os.path.getsize(path) - HEAD.size) / size:g} found")
-    k = params.k
+    k, head_size = params.k, HEAD.size
 
     def decode(batches):
         letters = np.frombuffer(_IDX.encode(), np.uint8)
         for batch in batches:
             for first in batch.column(0).to_pylist():
                 with open(path, "rb") as f:
-                    f.seek(HEAD.size + first * size)
+                    f.seek(head_size + first * size)
                     data = np.frombuffer(f.read(min(rows_at_once, count - first) * size), np.uint8).reshape(-1, size)
                 codes = np.stack([(data >> s) & 3 for s in (0, 2, 4, 6)], 2).reshape(len(data), -1)[:, :k]
                 text = letters[codes]
