@@ -21,18 +21,19 @@ from pyspark.sql.window import Window
 from .common import arrow_map, components, materialize
 
 #: Pyramid scales, and the corners kept on each, strongest first: a bounded number of rows an image.
-SCALES, CORNERS = (1.0, 0.7071, 0.5), (16, 10, 6)
-TABLES, KEY_BITS = 6, 32
-HAMMING, VOTES = 56, 4
-PATCH = 7
+SCALES, CORNERS = (1.0, 0.7071, 0.5), (20, 12, 8)
+TABLES, KEY_BITS = 6, 48
+#: Of the 128 bits that travel with a key, so many may differ.
+HAMMING, VOTES = 28, 4
+PATCH = 9
 #: Votes fall into bins of so many pixels, on two grids shifted by half a bin.
 SHIFT, TURNS = 8, 12
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2, (256, 4)), -PATCH, PATCH)
-_BITS = _rng.permutation(256)[: TABLES * KEY_BITS].reshape(TABLES, KEY_BITS)
+_BITS = np.stack([_rng.permutation(256)[:KEY_BITS] for _ in range(TABLES)])
 
-FOUND = pa.schema([("image_id", pa.int64()), ("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), *[(f"d{i}", pa.int64()) for i in range(4)], ("keys", pa.list_(pa.int64()))])
-FOUND_SQL = "image_id long, corner int, x float, y float, angle float, scale float, d0 long, d1 long, d2 long, d3 long, keys array<bigint>"
+FOUND = pa.schema([("image_id", pa.int64()), ("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), *[(f"d{i}", pa.int64()) for i in range(2)], ("keys", pa.list_(pa.int64()))])
+FOUND_SQL = "image_id long, corner int, x float, y float, angle float, scale float, d0 long, d1 long, keys array<bigint>"
 
 
 def read_pnm(data: bytes | None) -> np.ndarray | None:
@@ -132,9 +133,9 @@ def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in FOUND], schema=FOUND)
     image_id, corner, x, y, angle, scale, bits = (np.concatenate(z) for z in zip(*parts))
     words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
-    keys = np.stack([np.ascontiguousarray(np.packbits(bits[:, own], axis=1)).view(np.uint32)[:, 0] for own in _BITS], 1).astype(np.int64)
+    keys = np.stack([bits[:, own].astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64)) for own in _BITS], 1)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * TABLES, pa.int32()), pa.array(keys.ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(image_id, pa.int64()), pa.array(corner, pa.int32()), *(pa.array(z, pa.float32()) for z in (x, y, angle, scale)), *(pa.array(words[:, i].copy()) for i in range(4)), lists], schema=FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(image_id, pa.int64()), pa.array(corner, pa.int32()), *(pa.array(z, pa.float32()) for z in (x, y, angle, scale)), *(pa.array(words[:, i].copy()) for i in range(2)), lists], schema=FOUND)
 
 
 def image_copies(images: DataFrame) -> DataFrame:
@@ -152,17 +153,20 @@ def image_copies(images: DataFrame) -> DataFrame:
     found = arrow_map(classes.select(F.col("rep").alias("image_id"), "image"), _describe, FOUND_SQL)
     keyed = found.select("*", F.posexplode("keys").alias("table", "key")).drop("keys")
     bucket = Window.partitionBy("table", "key").orderBy("image_id", "corner")
-    row = F.struct("image_id", "corner", "x", "y", "angle", "scale", *(f"d{i}" for i in range(4)))
+    row = F.struct("image_id", "corner", "x", "y", "angle", "scale", "d0", "d1")
     met = keyed.select(row.alias("b"), *(F.lag(row, n).over(bucket).alias(f"a{n}") for n in (1, 2, 3)), F.first(row).over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("a4"))
     met = met.select("b", F.explode(F.array_distinct(F.array(*(f"a{n}" for n in (1, 2, 3, 4))))).alias("a")).where("a is not null and a.image_id < b.image_id")
-    far = sum((F.bit_count(F.col(f"a.d{i}").bitwiseXOR(F.col(f"b.d{i}"))) for i in range(1, 4)), F.bit_count(F.col("a.d0").bitwiseXOR(F.col("b.d0"))))
+    far = F.bit_count(F.col("a.d0").bitwiseXOR(F.col("b.d0"))) + F.bit_count(F.col("a.d1").bitwiseXOR(F.col("b.d1")))
     met = met.where(far <= HAMMING)
     turn, scale = F.col("b.angle") - F.col("a.angle"), F.col("a.scale") / F.col("b.scale")
     dx = F.col("b.x") - scale * (F.cos(turn) * F.col("a.x") - F.sin(turn) * F.col("a.y"))
     dy = F.col("b.y") - scale * (F.sin(turn) * F.col("a.x") + F.cos(turn) * F.col("a.y"))
     half = F.explode(F.array(*(F.struct(F.lit(gx).alias("x"), F.lit(gy).alias("y"), F.lit(gt).alias("t")) for gx in (0, 1) for gy in (0, 1) for gt in (0, 1)))).alias("grid")
     step = 2 * math.pi / TURNS
-    votes = met.select(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b"), F.col("b.corner").alias("corner"), turn.alias("turn"), F.round(2 * F.log2(scale)).cast("int").alias("size"), dx.alias("dx"), dy.alias("dy")).distinct().select("*", half)
+    vote = F.struct(F.col("b.corner").alias("corner"), turn.alias("turn"), F.round(2 * F.log2(scale)).cast("int").alias("size"), dx.alias("dx"), dy.alias("dy"))
+    # a pair has at most as many matches as corners squared, and most pairs too few to agree
+    votes = met.groupBy(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b")).agg(F.collect_set(vote).alias("votes")).where(F.size("votes") >= VOTES)
+    votes = votes.select("a", "b", F.explode("votes").alias("v")).select("a", "b", "v.*").select("*", half)
     binned = votes.groupBy(
         "a", "b", "size", "grid",
         F.pmod(F.floor(F.col("turn") / step + F.col("grid.t") / 2), F.lit(TURNS)).alias("turn"),
