@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +53,15 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -59,6 +69,7 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch |
         for batch in batches:
             if batch.num_rows and (out := kernel(batch)) is not None:
                 yield out
+        release()
 
     prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -106,6 +117,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.stars()], schema=EDGES)
             forest, seen = Forest(), 0
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.stars()], schema=EDGES)
+    release()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ BITS = 15
 SLOTS = 1 << BITS
 SAMPLE, LANDMARKS, LANGUAGES = 2048, 512, 64
 RIDGE, SHARP = 1e-2, 4.0
-ROWS = 256
+ROWS, BYTES = 256, 1 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -56,8 +56,14 @@ def presence(text: pa.Array) -> np.ndarray:
 
 
 def _chunks(text: pa.Array):
-    for at in range(0, len(text), ROWS):
-        yield text.slice(at, ROWS)
+    """Slices of up to ROWS texts and about BYTES bytes."""
+    size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < len(text):
+        to = min(at + ROWS, max(at + 1, int(np.searchsorted(size, size[at] + BYTES))))
+        to = min(to, len(text))
+        yield text.slice(at, to - at)
+        at = to
 
 
 def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare
+from .common import partitions, prepare, release
 from .kernels import U, mix, text_bytes, word_hashes, words
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
@@ -134,6 +134,7 @@ def _asked_table(rows: list[tuple]) -> pa.Table:
 
 def _answer(table: pa.Table) -> pa.Table:
     """Corpus counts for one partition of the tables: what each block asked for, in its order."""
+    release()
     asked = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
     counts = [_unpacked(x, np.uint32) for x in table.column("counts").to_pylist()]
     _, which = np.unique(np.concatenate(asked), return_inverse=True)
@@ -174,12 +175,14 @@ def backoff_scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
     docs = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)))
 
     def ask(table: pa.Table) -> pa.Table:
+        release()
         block = _Block(table.column("text"), parts)
         number = table.column("block")[0].as_py()
         return _asked_table([row for k in (1, 2)[:order] for row in block.asked(number, k)])
 
     def ask_more(k: int):
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+            release()
             if not left.num_rows:
                 return ASKED.empty_table()
             return _asked_table(_filled(left, right, parts, k - 1).asked(left.column("block")[0].as_py(), k))
@@ -187,6 +190,7 @@ def backoff_scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
         return ask
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         if not left.num_rows:
             return SCORED.empty_table()
         block = _filled(left, right, parts, order)

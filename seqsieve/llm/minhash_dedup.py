@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import EDGES, Forest, arrow_map, components, discard, materialize, partitions, signed
+from .common import EDGES, Forest, arrow_map, components, discard, materialize, partitions, release, signed
 from .kernels import U, mix, shingles, text_bytes, word_hashes, words
 
 T, R = 8, 2
@@ -169,6 +169,7 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held is not None:
         work(*held)
     yield stars()
+    release()
 
 
 def _intersections(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -257,6 +258,7 @@ def _verify(k: int, percent: int):
                 forest = Forest()
         close()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.stars()], schema=EDGES)
+        release()
 
     return run
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, release
 from .kernels import multi_range, text_bytes
 
 SPACE = "\u2581"
@@ -369,6 +369,7 @@ def encode(documents: DataFrame, model_file: str, column: str = "text", decoded:
                 held, size = [], 0
         if held:
             yield from flush(held)
+        release()
 
     return documents.mapInArrow(run, schema)
 
