@@ -15,7 +15,7 @@ def dna(text: str, ambiguous: bool = False) -> str:
 
 
 def _rotl(x: str, n: str) -> str:
-    return f"((({x})::BIGINT << (({n}) % 32)::INT | ({x})::BIGINT >> (32 - ({n}) % 32)::INT) & {M32})"
+    return f"(((({x})::BIGINT << (({n}) % 32)::INT) | (({x})::BIGINT >> (32 - ({n}) % 32)::INT)) & {M32})"
 
 
 def _rotr(x: str, n: str) -> str:
