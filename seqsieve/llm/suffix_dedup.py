@@ -13,13 +13,14 @@ sorting on bucket identifiers that cover later offsets:
 At each level a suffix alone in its bucket is dropped, one that shares its refined identifier is
 settled (all its windows occur elsewhere) and leaves one representative, and only the rest goes
 down. Identifiers are pairs of 64-bit hashes of the bytes. Sorting is a range exchange on
-(bucket, identifier), so a hot bucket is cut over several tasks and a task only compares
-neighbours: nothing is collected per bucket.
+(bucket, identifier, document, position), so a hot bucket and a hot identifier are cut over several
+tasks and a task only compares neighbours: nothing is collected per bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,14 +149,15 @@ def _level3(length: int):
     return kernel
 
 
-FLAGGED = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("p", pa.int32()), ("settled", pa.bool_()), ("open", pa.bool_())])
-FLAGGED_SQL = "did long, th long, start int, n int, p int, settled boolean, open boolean"
+FLAGGED = pa.schema([*ROWS, ("settled", pa.bool_()), ("open", pa.bool_())])
+FLAGGED_SQL = f"{ROWS_SQL}, settled boolean, open boolean"
 
 
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """settled: a neighbour in the sorted rows has the same identifier. open: goes to the next level.
 
-    The ends of a partition count as if their bucket went on, so a bucket cut over two tasks loses nothing.
+    The ends of a partition count as if their bucket went on, so a bucket or an identifier cut over
+    tasks loses nothing: the rows on both sides of the cut stay open.
     """
     held: pa.RecordBatch | None = None
     before: tuple[int, int] | None = None
@@ -181,7 +183,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(keep):
             return None
         rows = table.take(pa.array(keep))
-        return pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(2, 7)), pa.array(settled[keep]), pa.array(edge[keep])], schema=FLAGGED)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(settled[keep]), pa.array(edge[keep])], schema=FLAGGED)
 
     for batch in batches:
         if not batch.num_rows:
@@ -194,8 +196,9 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _refine(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.repartitionByRange(parts, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_flag, FLAGGED_SQL)
+def _refine(rows: DataFrame, parts: int, *salt: str) -> DataFrame:
+    """With salt columns, rows of one identifier can be cut over tasks, whatever their number."""
+    return rows.repartitionByRange(parts, "k1", "k2", *salt).sortWithinPartitions("k1", "k2").mapInArrow(_flag, FLAGGED_SQL)
 
 
 def _cut(length: int):
@@ -244,9 +247,13 @@ def remove_repeats(documents: DataFrame, length: int = 200) -> DataFrame:
         lists = rows.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias(name))
         return docs.join(lists.hint("shuffle_hash"), keys, how)
 
-    one = _refine(arrow_map(docs, _level1(length), ROWS_SQL), parts)
-    two = _refine(arrow_map(with_rows(one.where("open"), "todo", ["start", "n", "p"], "inner"), _level2(length), ROWS_SQL), parts)
-    three = _refine(arrow_map(with_rows(two.where("open"), "todo", ["start", "n"], "inner"), _level3(length), ROWS_SQL), parts)
-    runs_ = one.unionByName(two).unionByName(three).where("settled").select(*keys, "start", "n")
+    salt = ["did", "start"]
+    one = _refine(arrow_map(docs, _level1(length), ROWS_SQL), parts, *salt)
+    two = _refine(arrow_map(with_rows(one.where("open"), "todo", ["start", "n", "p"], "inner"), _level2(length), ROWS_SQL), parts, *salt)
+    three = _refine(arrow_map(with_rows(two.where("open"), "todo", ["start", "n"], "inner"), _level3(length), ROWS_SQL), parts, *salt)
+    # windows alone in their task: only the first and last rows of the tasks, met here without salt
+    ends = _refine(three.where("open").select(*ROWS.names), parts)
+    settled = [x.where("settled").select(*keys, "start", "n") for x in (one, two, three, ends)]
+    runs_ = reduce(DataFrame.unionByName, settled)
     out = arrow_map(with_rows(runs_, "runs", ["start", "n"], "left"), _cut(length), "did long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_bytes", "spans", "kept")

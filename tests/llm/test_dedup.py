@@ -67,6 +67,15 @@ def test_suffix_dedup_over_segments_and_empty(spark, monkeypatch):
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_cuts_a_hot_string_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "partitions", lambda spark: 40)
+    passage = PROSE(60).encode()[:230].decode("utf-8", "ignore")
+    texts = [PROSE(3) + str(i) + passage[: 100 + i % 9] + "|" + str(i % 50) + passage + str(i) for i in range(150)] + [passage] * 40
+    got = {r.doc_id: (r.n_bytes, [tuple(s) for s in r.spans]) for r in remove_repeats(frame(spark, list(enumerate(texts))), 60).collect()}
+    data = [t.encode() for t in texts]
+    assert got == {i: (len(b), spans(cover)) for i, (b, cover) in enumerate(zip(data, removed(data, 60)))}
+
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
