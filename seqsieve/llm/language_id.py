@@ -27,6 +27,8 @@ ORDER = 4
 BITS = 15
 SLOTS = 1 << BITS
 SAMPLE, LANDMARKS, LANGUAGES = 2048, 512, 64
+#: Rows drawn by hash for each row of the sample.
+SPARE = 4
 RIDGE, SHARP = 1e-2, 4.0
 ROWS, BYTES = 256, 1 << 20
 
@@ -70,12 +72,18 @@ def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and folded weights (SLOTS x languages), from documents (doc_id, text, lang) that are not held out."""
     prepare(documents.sparkSession)
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    langs = sorted(count)
     if not langs:
         return [], np.zeros((SLOTS, 0), np.float32)
     each = SAMPLE // len(langs)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    chosen = rows.where(F.col("lang").isin(langs)).select("doc_id", "lang", F.row_number().over(order).alias("nth")).where(F.col("nth") <= each).select("doc_id").distinct()
+    # about SPARE * each rows of a language have a hash below its bound, so ranking takes as many at any size
+    spare = SPARE * each
+    bound = {lang: 2**63 - 1 if n <= spare else -(2**63) + 2**64 * spare // n for lang, n in count.items()}
+    draw = F.xxhash64("doc_id", F.lit(1))
+    drawn = rows.where(F.col("lang").isin(langs)).where(draw <= F.element_at(F.create_map(*(F.lit(x) for pair in bound.items() for x in (pair[0], np.int64(pair[1])))), F.col("lang")))
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
+    chosen = drawn.select("doc_id", "lang", F.row_number().over(order).alias("nth")).where(F.col("nth") <= each).select("doc_id").distinct()
     ids = [r["doc_id"] for r in chosen.collect()]
 
     def bits(batch: pa.RecordBatch) -> pa.RecordBatch:
