@@ -32,6 +32,21 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# windows are taken from pieces of 512 starts, in hexadecimal
+ORACLES["op2_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, n * 512 AS low, substr(h, n * 1024 + 1, 1422) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 200, -1) // 512 + 1)) AS n FROM d WHERE length(h) >= 400)),
+w AS (SELECT doc_id, low + i AS i, md5(substr(s, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, low, s, unnest(range(0, least(512, length(s) // 2 - 199))) AS i FROM pieces)),
+k AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+c AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w JOIN k USING (k)),
+g AS (SELECT doc_id, i, sum((gap IS NULL OR gap > 200)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM c),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, nth),
+o AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM o JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .image_copies import image_copies, rendered
 
@@ -119,10 +134,35 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: Components of links (a, b) by reachability from each id.
+_REACHED = """e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reached(id, seen) AS (SELECT {id}, {id} FROM {table} UNION SELECT reached.id, e.b FROM reached JOIN e ON e.a = reached.seen),
+c AS (SELECT id, min(seen) AS component_id FROM reached GROUP BY id)"""
+ORACLES["op9_minhash_dedup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+{_REACHED.format(id="doc_id", table="d")}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON id = doc_id
+"""
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_vectors
 
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op10_embedding_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.label = q.label AND len(p.x) = len(q.x) AND p.vec_id < q.vec_id WHERE CASE WHEN len(p.x) = len(q.x) THEN list_cosine_similarity(p.x, q.x) >= 0.93 END),
+{_REACHED.format(id="vec_id", table="v")},
+f AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON id = vec_id LEFT JOIN f ON a = vec_id
+"""
+
+
 QUERIES |= {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_image_copies, op4_lm_scoring, op5_mixing, op6_chat_rotation, op7_sentencepiece, op8_language_id, op9_minhash_dedup, op10_embedding_dedup)}
