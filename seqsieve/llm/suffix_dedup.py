@@ -60,7 +60,7 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     w = length - q + 1
     sums = prefixes(data)
     h = mix((sums[q:] - sums[:-q]) * powers(BASE_INV, len(data))[: len(data) - q + 1])
-    starts, counts, anchors = [], [], []
+    starts, anchors = [], []
     low = U((1 << POS_BITS) - 1)
     for at in range(0, len(data) - length + 1, SEGMENT):
         part = h[at : at + SEGMENT + w - 1]
@@ -68,9 +68,12 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         p = (lead & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         starts.append(first + at)
-        counts.append(np.diff(np.append(first, len(p))))
         anchors.append(p[first] + at)
-    start, count, p = map(np.concatenate, (starts, counts, anchors))
+    start, p = map(np.concatenate, (starts, anchors))
+    # a run goes on over the cut of a segment: one place must not be met twice
+    fresh = np.concatenate([[True], p[1:] != p[:-1]])
+    start, p = start[fresh], p[fresh]
+    count = np.diff(np.append(start, len(data) - length + 1))
     ident = span_hash(sums, start, start + count - 1 + length)
     ident = mix(ident + count.astype(U) * U(0x2545F4914F6CDD1D) + (p - start).astype(U))
     return start, count, p, h[p], ident

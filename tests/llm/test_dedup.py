@@ -67,6 +67,24 @@ def test_suffix_dedup_over_segments_and_empty(spark, monkeypatch):
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("segment", [150, 256, 4096])
+def test_runs_do_not_depend_on_segments(monkeypatch, segment):
+    text = np.random.default_rng(3).integers(97, 123, 20_000).astype(np.uint8)
+    whole = suffix_dedup.runs(text, 100)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, suffix_dedup.runs(text, 100)))
+
+
+def test_suffix_dedup_of_long_texts_equals_brute_force(spark):
+    n = 2 * suffix_dedup.SEGMENT + 3000
+    first, second = (np.random.default_rng(i).integers(97, 123, n).astype(np.uint8).tobytes() for i in (1, 2))
+    at = suffix_dedup.SEGMENT - 300
+    second = second[:5000] + first[at : at + 700] + second[5000:]
+    texts = [first, second]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in remove_repeats(frame(spark, [(i, t.decode()) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: spans(cover) for i, cover in enumerate(removed(texts, 200))} and got[1] == [(5000, 5700)]
+
+
 def test_suffix_dedup_cuts_a_hot_string_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "partitions", lambda spark: 40)
     passage = PROSE(60).encode()[:230].decode("utf-8", "ignore")
