@@ -2,8 +2,7 @@
 
 Corners are found on a small pyramid; around each, brightness comparisons along pairs of points,
 turned by the patch's intensity centroid, give 256 bits. Parts of the bits are keys of hash tables.
-Rows of a table bucket, in order of image, meet the few rows before them and the bucket's first, so
-a bucket of any size makes a bounded number of pairs a row. A pair of close descriptors votes for
+All rows of a table bucket meet, those of a large bucket in pairs of tiles over many tasks. A pair of close descriptors votes for
 the turn, the scale and the shift that take one image to the other; images with VOTES corners that
 agree are linked, and links are closed into groups.
 """
@@ -11,14 +10,14 @@ agree are linked, and links are closed into groups.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import arrow_map, components, materialize
+from .common import arrow_map, components, materialize, partitions, release
 
 #: Pyramid scales, and the corners kept on each, strongest first: a bounded number of rows an image.
 SCALES, CORNERS = (1.0, 0.7071, 0.5), (20, 12, 8)
@@ -26,6 +25,8 @@ TABLES, KEY_BITS = 6, 48
 #: Of the 128 bits that travel with a key, so many may differ.
 HAMMING, VOTES = 28, 4
 PATCH = 9
+#: Rows of a bucket that meet in one task.
+TILE = 1024
 #: Votes fall into bins of so many pixels, on two grids shifted by half a bin.
 SHIFT, TURNS = 8, 12
 _rng = np.random.default_rng(11)
@@ -33,6 +34,8 @@ _PAIRS = np.clip(_rng.normal(0, PATCH / 2, (256, 4)), -PATCH, PATCH)
 _BITS = np.stack([_rng.permutation(256)[:KEY_BITS] for _ in range(TABLES)])
 
 FOUND = pa.schema([("image_id", pa.int64()), ("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), *[(f"d{i}", pa.int64()) for i in range(2)], ("keys", pa.list_(pa.int64()))])
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("corner", pa.int32()), ("turn", pa.float64()), ("size", pa.int32()), ("dx", pa.float64()), ("dy", pa.float64())])
+MET_SQL = "a long, b long, corner int, turn double, size int, dx double, dy double"
 FOUND_SQL = "image_id long, corner int, x float, y float, angle float, scale float, d0 long, d1 long, keys array<bigint>"
 
 
@@ -138,6 +141,48 @@ def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(image_id, pa.int64()), pa.array(corner, pa.int32()), *(pa.array(z, pa.float32()) for z in (x, y, angle, scale)), *(pa.array(words[:, i].copy()) for i in range(2)), lists], schema=FOUND)
 
 
+def _matches(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Close pairs of two images in each bucket of rows, sorted by bucket; of sides 1 and 2 only across."""
+    bucket, side, image_id, corner, x, y, angle, scale, d0, d1 = rows
+    at, d = np.arange(len(bucket) - 1), 1
+    held, size = [], 0
+    while len(at):
+        at = at[at + d < len(bucket)]
+        at = at[bucket[at + d] == bucket[at]]
+        i, j = at, at + d
+        far = np.bitwise_count((d0[i] ^ d0[j]).view(np.uint64)).astype(int) + np.bitwise_count((d1[i] ^ d1[j]).view(np.uint64))
+        good = (far <= HAMMING) & (image_id[i] != image_id[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j = i[good], j[good]
+        swap = image_id[i] > image_id[j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        turn, by = angle[b].astype(float) - angle[a], scale[a].astype(float) / scale[b]
+        cos, sin = np.cos(turn), np.sin(turn)
+        dx, dy = x[b] - by * (cos * x[a] - sin * y[a]), y[b] - by * (sin * x[a] + cos * y[a])
+        held.append((image_id[a], image_id[b], corner[b], turn, np.rint(2 * np.log2(by)).astype(np.int32), dx, dy))
+        size += len(a)
+        d += 1
+        if size and (size > 50_000 or not len(at)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held), MET)], schema=MET)
+            held, size = [], 0
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All close pairs of each bucket; the last bucket of a batch waits for the next batch."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(c) for c in zip(held, rows)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from _matches([c[:cut] for c in rows])
+        held = [c[cut:].copy() for c in rows]
+    if held is not None:
+        yield from _matches(held)
+    release()
+
+
 def image_copies(images: DataFrame) -> DataFrame:
     """image_id, n_links, component_id, kept for every row of images (image_id, image: binary PGM or PPM).
 
@@ -150,22 +195,19 @@ def image_copies(images: DataFrame) -> DataFrame:
     rows = images.select(F.col("image_id").cast("long").alias("image_id"), "image").withColumn("sha", F.sha2("image", 256))
     usable = rows.where("image_id is not null and image is not null")
     classes = usable.groupBy("sha").agg(F.min("image_id").alias("rep"), F.count("*").alias("copies"), F.first("image").alias("image"))
-    found = arrow_map(classes.select(F.col("rep").alias("image_id"), "image"), _describe, FOUND_SQL)
+    found = materialize(arrow_map(classes.select(F.col("rep").alias("image_id"), "image"), _describe, FOUND_SQL))
     keyed = found.select("*", F.posexplode("keys").alias("table", "key")).drop("keys")
-    bucket = Window.partitionBy("table", "key").orderBy("image_id", "corner")
-    row = F.struct("image_id", "corner", "x", "y", "angle", "scale", "d0", "d1")
-    met = keyed.select(row.alias("b"), *(F.lag(row, n).over(bucket).alias(f"a{n}") for n in (1, 2, 3)), F.first(row).over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("a4"))
-    met = met.select("b", F.explode(F.array_distinct(F.array(*(f"a{n}" for n in (1, 2, 3, 4))))).alias("a")).where("a is not null and a.image_id < b.image_id")
-    far = F.bit_count(F.col("a.d0").bitwiseXOR(F.col("b.d0"))) + F.bit_count(F.col("a.d1").bitwiseXOR(F.col("b.d1")))
-    met = met.where(far <= HAMMING)
-    turn, scale = F.col("b.angle") - F.col("a.angle"), F.col("a.scale") / F.col("b.scale")
-    dx = F.col("b.x") - scale * (F.cos(turn) * F.col("a.x") - F.sin(turn) * F.col("a.y"))
-    dy = F.col("b.y") - scale * (F.sin(turn) * F.col("a.x") + F.cos(turn) * F.col("a.y"))
+    large = keyed.groupBy("table", "key").count().where(F.col("count") > TILE).select("table", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    # rows of a large bucket go to all pairs of their tile with another, so no task holds a bucket
+    dealt = keyed.join(F.broadcast(large), ["table", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("image_id", "corner"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("int")
+    tiled = dealt.select(F.xxhash64("table", "key", F.least("tile", "other"), F.greatest("tile", "other")).alias("bucket"), side.alias("side"), *(f.name for f in FOUND if f.name != "keys"))
+    met = tiled.repartition(partitions(images.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET_SQL)
     half = F.explode(F.array(*(F.struct(F.lit(gx).alias("x"), F.lit(gy).alias("y"), F.lit(gt).alias("t")) for gx in (0, 1) for gy in (0, 1) for gt in (0, 1)))).alias("grid")
     step = 2 * math.pi / TURNS
-    vote = F.struct(F.col("b.corner").alias("corner"), turn.alias("turn"), F.round(2 * F.log2(scale)).cast("int").alias("size"), dx.alias("dx"), dy.alias("dy"))
     # a pair has at most as many matches as corners squared, and most pairs too few to agree
-    votes = met.groupBy(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b")).agg(F.collect_set(vote).alias("votes")).where(F.size("votes") >= VOTES)
+    votes = met.groupBy("a", "b").agg(F.collect_set(F.struct("corner", "turn", "size", "dx", "dy")).alias("votes")).where(F.size("votes") >= VOTES)
     votes = votes.select("a", "b", F.explode("votes").alias("v")).select("a", "b", "v.*").select("*", half)
     binned = votes.groupBy(
         "a", "b", "size", "grid",
@@ -210,12 +252,13 @@ def to_pgm(image: np.ndarray) -> bytes:
 def rendered(vectors: DataFrame) -> DataFrame:
     """(image_id, image) for each row of vectors (vec_id): a stand-in media column, as the tables hold no images.
 
-    Ids 4i, 4i+1 and 4i+2 show one scene (whole, cropped, other contrast), 4i+3 one of its own; a null id has a null image.
+    Of 256 ids from a multiple of 256 on, i, i+64 and i+128 show one scene (whole, cropped, other contrast), i+192 one of
+    its own, for i below 64: copies are far apart in order of id. A null id has a null image.
     """
 
     def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_pylist()
-        images = [None if i is None else to_pgm(edited(scene((i // 4) * 2 + (i % 4 == 3)), i % 4, i)) for i in ids]
+        images = [None if i is None else to_pgm(edited(scene((i // 256 * 64 + i % 64) * 2 + (i % 256 // 64 == 3)), i % 256 // 64, i)) for i in ids]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["image_id", "image"])
 
     return arrow_map(vectors.select(F.abs(F.col("vec_id")).cast("long").alias("image_id")), draw, "image_id long, image binary")

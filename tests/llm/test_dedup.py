@@ -215,3 +215,14 @@ def test_image_copies(spark):
     assert all(got[i].component_id == i and got[i].n_links == 0 for i in (902, 903, 904, 905, 906))
     assert read_pnm(b"P6 #c\n1 1 255\n" + bytes([255, 255, 255])).round().tolist() == [[255.0]]
     assert image_copies(rendered(spark.createDataFrame([], "vec_id long"))).count() == 0
+
+
+def test_image_copies_meet_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr("seqsieve.llm.image_copies.TILE", 4)
+    images = []
+    for i in range(24):  # bytes differ, descriptors do not
+        image = scene(3)
+        image[0, 0] = i
+        images.append((i, to_pgm(image)))
+    got = {r.image_id: r for r in image_copies(spark.createDataFrame(images, "image_id long, image binary")).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (23, 0) for i in range(24)), got
