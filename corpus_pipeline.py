@@ -9,6 +9,9 @@ from seqsieve.llm import language_id, minhash_dedup, mixing, pii, sentencepieces
 from seqsieve.llm.common import materialize
 from seqsieve.llm.queries import MODEL_FILE
 
+#: Documents that share so much of their five-word shingles are near copies.
+PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts and texts without a letter."""
@@ -18,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group; rows without an id stay."""
-    groups = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """Keep the document with the smallest id of each group of similarity PERCENT or more; rows without an id stay."""
+    groups = minhash_dedup.near_duplicates(docs, PERCENT).where("not kept").select("doc_id").distinct()
     return docs.join(groups.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -216,3 +216,12 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("text like '%@%'").count() == 0
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in last) == seen[3] and all(r.round_trip and r.n_tokens for r in last)
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    near = [*words[:30], "x", *words[31:70], "y", *words[71:]]  # 86 of 106 shingles: 0.811
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, PROSE(80))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
