@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, components, materialize, partitions, release
 
-#: Pyramid scales, and the corners kept on each, strongest first: a bounded number of rows an image.
+#: Pyramid scales, and the corners kept on each in every CELL x CELL pixels, strongest first: rows grow with the area.
 SCALES, CORNERS = (1.0, 0.7071, 0.5), (20, 12, 8)
+CELL = 64
 TABLES, KEY_BITS = 6, 48
 #: Of the 128 bits that travel with a key, so many may differ.
 HAMMING, VOTES = 28, 4
@@ -102,7 +103,10 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, ...]:
         yy, xx = np.nonzero((inner >= around) & (inner > 1.0))
         if not len(yy):
             continue
-        order = np.argsort(-inner[yy, xx], kind="stable")[:most]
+        cell = (yy + margin) // CELL * (g.shape[1] // CELL + 1) + (xx + margin) // CELL
+        order = np.lexsort((-inner[yy, xx], cell))
+        cell = cell[order]
+        order = order[np.arange(len(cell)) - np.searchsorted(cell, cell) < most]
         yy, xx = yy[order] + margin, xx[order] + margin
         d = np.arange(-PATCH, PATCH + 1)
         disc = (d[:, None] ** 2 + d[None, :] ** 2) <= PATCH * PATCH

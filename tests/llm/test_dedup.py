@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from seqsieve.llm import common, embedding_dedup, minhash_dedup, suffix_dedup
+from seqsieve.llm import common, embedding_dedup, image_copies as copies, minhash_dedup, suffix_dedup
 from seqsieve.llm.embedding_dedup import near_vectors
 from seqsieve.llm.image_copies import edited, image_copies, read_pnm, rendered, scene, to_pgm
 from seqsieve.llm.minhash_dedup import near_duplicates
@@ -226,3 +226,16 @@ def test_image_copies_meet_in_large_buckets(spark, monkeypatch):
         images.append((i, to_pgm(image)))
     got = {r.image_id: r for r in image_copies(spark.createDataFrame(images, "image_id long, image binary")).collect()}
     assert all((got[i].n_links, got[i].component_id) == (23, 0) for i in range(24)), got
+
+
+def test_corners_of_a_crop_are_corners_of_a_large_image():
+    for s in range(4):
+        image = np.zeros((256, 256))
+        for k in range(16):
+            image[k // 4 * 64 : k // 4 * 64 + 64, k % 4 * 64 : k % 4 * 64 + 64] = 100 + (scene(16 * s + k) - 128) * (1.0 if k == 0 else 0.3)
+        image = image.clip(0, 255).astype(np.uint8).astype(float)
+        crop = image[100:228, 110:238]
+        (ax, ay, *_, a), (bx, by, *_, b) = copies.describe(image), copies.describe(crop)
+        close = (a[:, None, :128] != b[None, :, :128]).sum(2) <= copies.HAMMING
+        place = (abs(ax[:, None] - bx - 110) < 3) & (abs(ay[:, None] - by - 100) < 3)
+        assert (close & place).any(0).sum() >= 2 * copies.VOTES
