@@ -27,6 +27,8 @@ T, R = 8, 2
 SKETCH = 16
 #: Of SKETCH sketch bytes, so many agree between rows of one cluster, and so many let a row be dropped from a canopy.
 CLOSE, SAME = 8, 13
+#: What is CLOSE to a dropped row agrees with its pivot in so many bytes at least.
+NEAR = CLOSE - (SKETCH - SAME)
 #: Rows of one key compared pair by pair; beyond that, with pivots.
 PAIRWISE = 16
 #: Shingles in one tile, where a document counts as LEAST shingles at least.
@@ -106,7 +108,7 @@ class _Canopies:
     @staticmethod
     def _against(pid: int, p: np.ndarray, rep: np.ndarray, sketch: np.ndarray, forest: Forest):
         agree = _agree(sketch, np.broadcast_to(p, sketch.shape).copy())
-        for x in rep[agree >= CLOSE].tolist():
+        for x in rep[agree >= NEAR].tolist():
             forest.join(pid, x)
         rest = agree < SAME
         return rep[rest], sketch[rest]

@@ -239,3 +239,14 @@ def test_corners_of_a_crop_are_corners_of_a_large_image():
         close = (a[:, None, :128] != b[None, :, :128]).sum(2) <= copies.HAMMING
         place = (abs(ax[:, None] - bx - 110) < 3) & (abs(ay[:, None] - by - 100) < 3)
         assert (close & place).any(0).sum() >= 2 * copies.VOTES
+
+
+def test_canopies_join_what_is_close_to_a_dropped_row():
+    pivot = np.zeros(16, np.uint8)
+    x, y = pivot.copy(), pivot.copy()
+    x[:3] = 1  # agrees with the pivot in 13 bytes, with y in 8
+    y[:3], y[8:] = 1, 2
+    assert (x == y).sum() == minhash_dedup.CLOSE and (pivot == y).sum() < minhash_dedup.CLOSE
+    forest = common.Forest()
+    minhash_dedup._Canopies().add(np.arange(3), np.stack([pivot, x, y]).view(np.int64), forest)
+    assert forest.find(1) == forest.find(2)
