@@ -16,6 +16,8 @@ PERCENT = 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts and texts without a letter."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    if not model[0]:  # no labels to learn from
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     told = language_id.predict(docs.select(F.struct("*").alias("row"), "text"), model)
     return told.where("lang_pred <> 'und'").select("row.*")
 

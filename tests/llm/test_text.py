@@ -225,3 +225,10 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
     near = [*words[:30], "x", *words[31:70], "y", *words[71:]]  # 86 of 106 shingles: 0.811
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, PROSE(80))], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_pipeline_keeps_texts_when_no_language_is_known(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "abc", None), (2, "1 2", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
