@@ -7,8 +7,8 @@ regression for each language against the rest is fitted on them. The kernel agai
 and the regression are both linear in the presence bits, so scoring a batch is one matrix product
 of bits with folded weights.
 
-Training reads a bounded sample: at most SAMPLE rows, split evenly between languages (of which the
-LANGUAGES most frequent count), chosen by hash; LANDMARKS of them serve as landmarks.
+Training reads a bounded sample: SAMPLE rows, split evenly between all languages (one row of each
+at least), chosen by hash; LANDMARKS of them serve as landmarks.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .kernels import text_bytes
 ORDER = 4
 BITS = 15
 SLOTS = 1 << BITS
-SAMPLE, LANDMARKS, LANGUAGES = 2048, 512, 64
+SAMPLE, LANDMARKS = 2048, 512
 #: Rows drawn by hash for each row of the sample.
 SPARE = 4
 RIDGE, SHARP = 1e-2, 4.0
@@ -72,11 +72,11 @@ def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and folded weights (SLOTS x languages), from documents (doc_id, text, lang) that are not held out."""
     prepare(documents.sparkSession)
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(count)
     if not langs:
         return [], np.zeros((SLOTS, 0), np.float32)
-    each = SAMPLE // len(langs)
+    each = max(1, SAMPLE // len(langs))
     # about SPARE * each rows of a language have a hash below its bound, so ranking takes as many at any size
     spare = SPARE * each
     bound = {lang: 2**63 - 1 if n <= spare else -(2**63) + 2**64 * spare // n for lang, n in count.items()}
@@ -91,7 +91,7 @@ def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:
         return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["lang", "bits"])
 
     sample = arrow_map(rows.where(F.col("doc_id").isin(ids) & F.col("lang").isin(langs) & F.col("text").rlike(r"\p{L}")).select("text", "lang"), bits, "lang string, bits binary")
-    got = sorted((r["lang"], bytes(r["bits"])) for r in sample.limit(2 * SAMPLE).collect())
+    got = sorted((r["lang"], bytes(r["bits"])) for r in sample.limit(2 * max(SAMPLE, len(langs))).collect())
     if not got:
         return [], np.zeros((SLOTS, 0), np.float32)
     bits_of = lambda rows: np.unpackbits(np.frombuffer(b"".join(got[i][1] for i in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)

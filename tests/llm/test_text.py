@@ -232,3 +232,12 @@ def test_pipeline_keeps_texts_when_no_language_is_known(spark):
 
     docs = spark.createDataFrame([(1, "abc", None), (2, "1 2", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
+def test_language_id_learns_more_than_64_languages(spark):
+    rows = []
+    for n in range(70):
+        own = [f"{chr(0x4E00 + 16 * n + k)}{chr(0x4E00 + 16 * n + (k + 1) % 16)}" for k in range(16)]
+        rows += [(100 * n + k, " ".join(R.choice(own) for _ in range(30)), f"l{n:02}") for k in range(12)]
+    langs, _ = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == sorted({r[2] for r in rows})
