@@ -74,31 +74,43 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """P with P[i] the polynomial hash of data[:i]; see span_hash."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(code[data] * powers(BASE, len(data))[: len(data)], out=out[1:])
-    return out
-
-
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed 64-bit hash of data[start:end] that depends on the content only."""
+    """Mixed 64-bit hash of data[start:end] that depends on the content only; prefix[i] sums code * BASE**place of data[:i]."""
     return mix((prefix[end] - prefix[start]) * powers(BASE_INV, len(prefix))[start])
 
 
-#: Bytes whose prefix sums are held at once.
-PIECE = 1 << 20
+#: Bytes whose codes are held at once.
+PIECE = 1 << 17
+#: Places in a word whose byte codes are looked up; those behind are computed.
+NEAR = 32
+_SALT = U(0x632BE59BD9B4E019)
+_PLACED = mix(np.arange(NEAR * 256, dtype=np.uint64) * U(BASE) + _SALT).reshape(NEAR, 256)
+_LOOKED = {False: _PLACED.ravel(), True: _PLACED[:, LOWER].ravel()}
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """Hashes of words given in order; they depend on the words only."""
-    code = BYTE_CODE[LOWER] if lower else BYTE_CODE
-    out, at = np.empty(len(starts), U), 0
+    """Hashes of words given in order; they depend on the words only.
+
+    Every pair of a byte and its place in the word has a random code of its own, and codes are added:
+    no algebra between places, so words of few letters do not collide by their structure.
+    """
+    out, at, table = np.empty(len(starts), U), 0, _LOOKED[lower]
     while at < len(starts):
         low = int(starts[at])
         to = max(at + 1, int(np.searchsorted(ends, low + PIECE, "right")))
-        sums = prefix_hash(data[low : int(ends[to - 1])], code)
-        out[at:to] = span_hash(sums, starts[at:to] - low, ends[at:to] - low)
+        first, last = starts[at:to] - low, ends[at:to] - low
+        byte = data[low : low + int(last[-1])]
+        began = np.zeros(len(byte), np.int32)
+        began[first] = first
+        place = np.arange(len(byte), dtype=np.int32) - np.maximum.accumulate(began)
+        code = table[(np.minimum(place, NEAR - 1) << 8) | byte]
+        if int((last - first).max()) > NEAR:
+            far = np.flatnonzero(place >= NEAR)
+            letter = LOWER[byte[far]] if lower else byte[far]
+            code[far] = mix((place[far].astype(U) << U(8) | letter) * U(BASE) + _SALT)
+        sums = np.zeros(len(byte) + 1, U)
+        np.cumsum(code, out=sums[1:])
+        out[at:to] = mix(sums[last] - sums[first] + (last - first).astype(U))
         at = to
     return out
 

@@ -5,19 +5,25 @@ key combines one sub-key of either collection, so 2*T*R minhash functions serve
 of Jaccard similarity s meets in some table with probability (1 - (1 - s**R)**T)**2: 0.99993 at 0.85.
 
 Documents with equal shingle sets form one class first, so exact copies never meet in a table.
-Within a table key, documents whose one-byte minhash sketches agree are clustered through canopies
-(each row is compared with a few pivots, not with all rows); clusters are a superset of the true
-groups. Each cluster's full sets are then compared exactly, in tiles of bounded size: a large
-cluster becomes many pairs of tiles, spread over tasks. Only spanning edges leave a task.
+Within a table key, documents whose one-byte minhash sketches agree are clustered, in a large key
+through canopies: each row is compared with pivots, and a row that leaves a canopy takes all with it
+that could agree with it, so clusters are a superset of the true groups at any size of a key.
+
+Full sets are compared exactly, as packed shingle hashes. A cluster of one tile is compared as it
+is. Of a larger one all sets meet a central one first. What is linked with it is connected and need
+not meet itself again; and as 1 - similarity is a metric, only sets within twice the distance can
+be linked with those. What remains is compared in pairs of tiles, spread over tasks. Only spanning
+edges leave a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import EDGES, Forest, arrow_map, components, discard, materialize, partitions, release, signed
@@ -33,6 +39,8 @@ NEAR = CLOSE - (SKETCH - SAME)
 PAIRWISE = 16
 #: Shingles in one tile, where a document counts as LEAST shingles at least.
 TILE, LEAST = 400_000, 200
+#: Central sets that a large cluster meets, one after the other, before tiles are paired.
+ROUNDS = 2
 _ODD = np.random.default_rng(77).integers(1, 2**63, 2 * T * R, dtype=np.uint64) * U(2) + U(1)
 _C = U(0x9FB21C651E98DF25)
 
@@ -185,7 +193,7 @@ def _intersections(sets: list[np.ndarray], left: int) -> np.ndarray:
     count = np.diff(np.append(first, len(value)))
     per = np.repeat(count, count)
     shape = (left, m - left) if left else (m, m)
-    out = np.zeros(shape, np.float32)
+    out = np.zeros(shape, np.int64)
     light = np.flatnonzero((per > 1) & (per <= 64))
     v, r = value[light], row[light]
     for d in range(1, 64):
@@ -202,23 +210,28 @@ def _intersections(sets: list[np.ndarray], left: int) -> np.ndarray:
     if len(heavy):
         column = np.cumsum(np.concatenate([[0], (value[heavy][1:] != value[heavy][:-1]).astype(np.int64)]))
         r = row[heavy]
-        step = max(1, 4_000_000 // m)
+        step = min(1 << 20, max(1, 4_000_000 // m))  # sums of so many ones are exact in single precision
         for at in range(0, int(column[-1]) + 1, step):
             part = slice(*np.searchsorted(column, [at, at + step]))
             dense = np.zeros((m, step), np.float32)
             dense[r[part], column[part] - at] = 1
-            out += dense[:left] @ dense[left:].T if left else dense @ dense.T
+            out += (dense[:left] @ dense[left:].T if left else dense @ dense.T).astype(np.int64)
     if not left:
         out = np.triu(out, 1)
         out += out.T
     return out
 
 
+def reaches(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """100 * |A & B| >= percent * |A | B| in integers, of sets with anything in common."""
+    inter = inter.astype(np.int64)
+    return (100 * inter >= percent * (a.astype(np.int64) + b.astype(np.int64) - inter)) & (inter > 0)
+
+
 def _linked(ids: list[int], sets: list[np.ndarray], left: int, percent: int, forest: Forest) -> None:
-    n = np.array([len(s) for s in sets], np.float32)
-    inter = _intersections(sets, left)
+    n = np.array([len(s) for s in sets], np.int64)
     a, b = (n[:left], n[left:]) if left else (n, n)
-    link = (100 * inter >= percent * (a[:, None] + b[None, :] - inter)) & (inter > 0)
+    link = reaches(_intersections(sets, left), a[:, None], b[None, :], percent)
     rows = np.flatnonzero(link.any(1))
     for i in rows.tolist():
         other = np.flatnonzero(link[i])
@@ -228,33 +241,125 @@ def _linked(ids: list[int], sets: list[np.ndarray], left: int, percent: int, for
             forest.join(ids[i], ids[left + j])
 
 
-def _verify(k: int, percent: int):
-    """Spanning edges of exact links in each (cluster, ta, tb); input sorted by those."""
+PACKED_SQL = "doc_id long, cluster long, tiles int, s1 long, s2 long, shingles binary"
+
+
+def _pack(k: int):
+    """Sets as sorted hashes; a text is hashed once, however many tiles it meets."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        value, off = _sets(batch, k)
+        data = [value[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "cluster", "tiles", "s1", "s2")), pa.array(data, pa.binary())], names=["doc_id", "cluster", "tiles", "s1", "s2", "shingles"])
+
+    return kernel
+
+
+#: What a set is to the centre of its cluster: linked, near enough to be linked with what is linked, or neither.
+LINKED, WITHIN, BEYOND = 0, 1, 2
+MEASURED_SQL = "doc_id long, cluster long, tiles int, s1 long, s2 long, shingles binary, centre long, role int"
+
+
+def _measure(percent: int):
+    """Role of all sets against the centre that comes before them; input sorted by (cluster, tile, follows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, core = 0, np.zeros(0, U)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            follows = batch.column("follows").to_numpy()
+            ids = batch.column("doc_id").to_numpy()
+            sets = [np.frombuffer(x, U) for x in batch.column("shingles").to_pylist()]
+            role, of = np.full(len(ids), LINKED, np.int32), np.zeros(len(ids), np.int64)
+            leads = np.flatnonzero(follows == 0).tolist()
+            for a, b in zip([0, *leads], [*leads, len(ids)]):
+                if a in leads:
+                    centre, core = int(ids[a]), sets[a]
+                    a += 1
+                if a >= b:
+                    continue
+                size = np.array([len(x) for x in sets[a:b]], np.int64)
+                value = np.concatenate(sets[a:b])
+                hit = (core[np.minimum(np.searchsorted(core, value), len(core) - 1)] == value).astype(np.int64)
+                inter = np.add.reduceat(hit, np.cumsum(size) - size)
+                n = np.int64(len(core))
+                near = reaches(inter, size, n, 2 * percent - 100) if percent > 50 else True
+                role[a:b] = np.where(reaches(inter, size, n, percent), LINKED, np.where(near, WITHIN, BEYOND))
+                of[a:b] = centre
+            keep = pa.array(follows > 0)
+            out = [batch.column(c).filter(keep) for c in ("doc_id", "cluster", "tiles", "s1", "s2", "shingles")]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(of[follows > 0]), pa.array(role[follows > 0], pa.int32())], names=["doc_id", "cluster", "tiles", "s1", "s2", "shingles", "centre", "role"])
+        release()
+
+    return run
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """cluster, tiles, doc_id, shingles of the most central set of each cluster: it shares most sketch bytes with the most frequent ones."""
+    byte = lambda nth: F.shiftright(F.col("s1" if nth < 8 else "s2"), 8 * (nth % 8)).bitwiseAND(255).cast("int")
+    sketch = F.array(*map(byte, range(SKETCH)))
+    counts = rows.select("cluster", F.posexplode(sketch).alias("place", "byte")).groupBy("cluster", "place", "byte").count()
+    modes = counts.groupBy("cluster", "place").agg(F.max(F.struct("count", "byte"))["byte"].alias("byte"))
+    modes = modes.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "byte"))), lambda x: x["byte"]).alias("modes"))
+    shared = F.aggregate(F.zip_with(sketch, "modes", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
+    rank = F.struct(shared.alias("shared"), (-F.col("doc_id")).alias("id"), F.xxhash64("shingles").alias("hash"))
+    return rows.join(modes, "cluster").groupBy("cluster", "tiles").agg(F.max_by(F.struct("doc_id", "shingles"), rank).alias("top")).select("cluster", "tiles", "top.*")
+
+
+def _tiles(weight: str = "shingles") -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.sum(F.greatest(F.length(weight) / 8, F.lit(LEAST))) / TILE)).cast("int")
+
+
+MET = ["doc_id", "shingles", "cluster", "nth", "ta", "tb", "side"]
+
+
+def _own_tile(tiles: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "shingles"), F.col(tiles)).cast("int")
+
+
+def _all_pairs(rows: DataFrame, nth: int) -> DataFrame:
+    """rows (cluster, doc_id, shingles, tiles) at each pair of their tile with a tile of the cluster."""
+    each = rows.withColumn("tile", _own_tile("tiles")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
+    return each.select("doc_id", "shingles", "cluster", F.lit(nth).alias("nth"), F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), side.alias("side"))
+
+
+def _across(rows: DataFrame, nth: int) -> DataFrame:
+    """Sets linked with a centre at each pair of their tile with a tile of the sets within reach, and the other way round."""
+    of = lambda role: F.when(F.col("role") == role, F.col("shingles"))
+    few = rows.where(F.col("role") != BEYOND)
+    weights = few.groupBy("cluster").agg(_tiles_of(of(LINKED)).alias("na"), _tiles_of(of(WITHIN)).alias("nb")).where("na > 0 and nb > 0")
+    each = few.join(weights, "cluster").withColumn("tile", F.when(F.col("role") == LINKED, _own_tile("na")).otherwise(_own_tile("nb")))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("role") == LINKED, F.col("nb")).otherwise(F.col("na")) - 1)))
+    left = F.col("role") == LINKED
+    return each.select("doc_id", "shingles", "cluster", F.lit(nth).alias("nth"), F.when(left, F.col("tile")).otherwise(F.col("other")).alias("ta"), F.when(left, F.col("other")).otherwise(F.col("tile")).alias("tb"), F.when(left, 1).otherwise(2).alias("side"))
+
+
+def _tiles_of(shingles: Column) -> Column:
+    return F.ceil(F.coalesce(F.sum(F.greatest(F.length(shingles) / 8, F.lit(LEAST)) * shingles.isNotNull().cast("int")), F.lit(0)) / TILE).cast("int")
+
+
+def _verify(percent: int):
+    """Spanning edges of exact links in each (cluster, nth, ta, tb), of sides 1 and 2 only across; input sorted by those and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        now, ids, tiles, sets = None, [], [], []
+        now, ids, sides, sets = None, [], [], []
 
         def close() -> None:
-            if len(ids) > 1:
-                if now[1] == now[2]:
-                    _linked(ids, sets, 0, percent, forest)
-                else:
-                    order = sorted(range(len(ids)), key=lambda i: tiles[i] != now[1])
-                    left = sum(t == now[1] for t in tiles)
-                    if 0 < left < len(ids):
-                        _linked([ids[i] for i in order], [sets[i] for i in order], left, percent, forest)
+            left = sum(s == 1 for s in sides)
+            if len(ids) > 1 and (sides[-1] == 0 or 0 < left < len(ids)):
+                _linked(ids, sets, left, percent, forest)
 
         for batch in batches:
-            value, off = _sets(batch, k)
-            off = off.tolist()
-            for i, (doc, *group, tile) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "cluster", "ta", "tb", "tile")))):
+            for doc, packed, *group, side in zip(*(batch.column(c).to_pylist() for c in MET)):
                 if group != now:
                     close()
-                    now, ids, tiles, sets = group, [], [], []
+                    now, ids, sides, sets = group, [], [], []
                 ids.append(doc)
-                tiles.append(tile)
-                sets.append(value[off[i] : off[i + 1]])
+                sides.append(side)
+                sets.append(np.frombuffer(packed, U))
             if len(forest.parent) > 1_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest.stars()], schema=EDGES)
                 forest = Forest()
@@ -265,6 +370,30 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _exact_links(packed: DataFrame, percent: int, parts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) that connect what exact links connect within clusters, and the tables they are read from."""
+    meets = [packed.where("tiles = 1").select("doc_id", "shingles", "cluster", F.lit(-1).alias("nth"), F.lit(0).alias("ta"), F.lit(0).alias("tb"), F.lit(0).alias("side"))]
+    edges, tables, left = [], [], packed.where("tiles > 1")
+    for nth in range(ROUNDS):
+        if left.limit(1).count() == 0:
+            break
+        centres = _centres(left).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        none = F.lit(0).cast("long")
+        lead = centres.select("doc_id", "cluster", "tiles", none.alias("s1"), none.alias("s2"), "shingles", "tile", F.lit(0).alias("follows"))
+        rows = left.select("doc_id", "cluster", "tiles", "s1", "s2", "shingles", _own_tile("tiles").alias("tile"), F.lit(1).alias("follows"))
+        dealt = rows.unionByName(lead).repartition(parts, "cluster", "tile").sortWithinPartitions("cluster", "tile", "follows")
+        told = materialize(dealt.mapInArrow(_measure(percent), MEASURED_SQL))
+        tables.append(told)
+        edges.append(told.where((F.col("role") == LINKED) & (F.col("centre") != F.col("doc_id"))).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))
+        meets.append(_across(told, nth))
+        left = told.where(F.col("role") != LINKED).drop("centre", "role")
+    weights = left.groupBy("cluster").agg(_tiles().alias("tiles"))
+    meets.append(_all_pairs(left.drop("tiles").join(weights, "cluster"), ROUNDS))
+    met = reduce(DataFrame.unionByName, meets).repartition(parts, "cluster", "nth", "ta", "tb").sortWithinPartitions("cluster", "nth", "ta", "tb", "side")
+    exact = met.select(*MET).mapInArrow(_verify(percent), "a long, b long")
+    return reduce(DataFrame.unionByName, [exact, *edges]), tables
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents (doc_id, text).
 
@@ -272,8 +401,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, k: int = 5) -> Data
     distinct k-word shingles, or the whole sequence of a shorter text. Documents are linked when
     100 * |A & B| >= percent * |A | B|, confirmed on full sets. A null text or one without words
     has an empty set and no links. Rows that share a doc_id are one document with the links of all
-    of them; a row with a null doc_id is linked with nothing, has a null component and is kept.
-    Other columns are ignored. An empty table gives an empty table.
+    of them; a row with a null doc_id is linked with nothing, has a null component and is kept. A
+    very long text is one set of all its shingles. Of equal similarities all are links, so no tie has
+    to be broken; the smallest id of a group is kept. Other columns are ignored. An empty table gives
+    an empty table.
     """
     spark = documents.sparkSession
     parts = partitions(spark)
@@ -284,22 +415,16 @@ def near_duplicates(documents: DataFrame, percent: int = 85, k: int = 5) -> Data
     tables = arrow_map(classes.select("rep", "s1", "s2", "keys"), _tables, "key long, rep long, s1 long, s2 long")
     coarse = components(tables.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_cluster, "a long, b long"))
     members = coarse.unionByName(coarse.select(F.col("component").alias("node"), "component").distinct())
-    sizes = sets.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
+    sizes = sets.groupBy(F.col("doc_id").alias("node")).agg(F.max(F.struct("n", "s1", "s2")).alias("top")).select("node", "top.*")
     members = members.join(sizes, "node")
     weight = members.groupBy("component").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / TILE).cast("int").alias("tiles"))
-    members = members.join(weight, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "tiles", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"))
-    members = materialize(members)
-    pairs = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    tiled = (
-        docs.join(members.hint("shuffle_hash"), "doc_id")
-        .select("doc_id", "text", "cluster", "tile", pairs)
-        .select("doc_id", "text", "cluster", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"))
-    )
-    exact = tiled.repartition(parts, "cluster", "ta", "tb").sortWithinPartitions("cluster", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long")
+    members = materialize(members.join(weight, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "tiles", "s1", "s2"))
+    packed = materialize(arrow_map(docs.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "cluster", "tiles", "s1", "s2", "text"), _pack(k), PACKED_SQL).where(F.length("shingles") > 0))
+    exact, measured = _exact_links(packed, percent, parts)
     copies = sets.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     groups = components(exact.unionByName(copies))
-    discard(members)
-    discard(coarse)
+    for done in (members, packed, coarse, *measured):
+        discard(done)
     out = found.select("doc_id", F.col("n").alias("n_shingles")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

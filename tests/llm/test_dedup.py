@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from seqsieve.llm import common, embedding_dedup, image_copies as copies, minhash_dedup, suffix_dedup
+from seqsieve.llm import common, embedding_dedup, image_copies as copies, kernels, minhash_dedup, suffix_dedup
 from seqsieve.llm.embedding_dedup import near_vectors
 from seqsieve.llm.image_copies import edited, image_copies, read_pnm, rendered, scene, to_pgm
 from seqsieve.llm.minhash_dedup import near_duplicates
@@ -241,6 +242,41 @@ def test_corners_of_a_crop_are_corners_of_a_large_image():
         assert (close & place).any(0).sum() >= 2 * copies.VOTES
 
 
+def test_words_of_two_letters_do_not_collide():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} {other} {word.upper()} {'é' * 50} b a".encode(), np.uint8)
+    starts, ends, _ = kernels.words(data, np.array([0, len(data)]))
+    h = kernels.word_hashes(data, starts, ends)
+    assert h[0] == h[2] and len(set(h.tolist())) == 5
+    assert (kernels.word_hashes(data, starts[2:], ends[2:]) == h[2:]).all()
+
+
+def test_links_are_confirmed_in_integers():
+    union, inter = 1_600_013, 1_360_011
+    a = np.array([inter + 1], np.int64)
+    assert not minhash_dedup.reaches(np.array([inter]), a, union + inter - a, 85).any()
+    assert minhash_dedup.reaches(np.array([inter + 1]), np.array([union]), np.array([inter + 1]), 85).all()
+
+
+def test_a_key_of_many_rows_loses_no_pair():
+    r = np.random.default_rng(5)
+    n, groups = 60_000, 40
+    which = r.integers(0, groups, n)
+    sketch = r.integers(0, 256, (groups, 16)).astype(np.uint8)[which]
+    for i in range(n):  # two of a group agree in 8 of 16 bytes at least
+        sketch[i, r.integers(0, 16, r.integers(0, 5))] = r.integers(0, 256)
+    s = sketch.view(np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int64)), pa.array(x), pa.array(s[x, 0].copy()), pa.array(s[x, 1].copy())], schema=minhash_dedup.TABLE) for x in np.array_split(np.arange(n), 9)]
+    forest = common.Forest()
+    for batch in minhash_dedup._cluster(iter(batches)):
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            forest.join(a, b)
+    assert all(len({forest.find(int(i)) for i in np.flatnonzero(which == g)}) == 1 for g in range(groups))
+
+
 def test_canopies_join_what_is_close_to_a_dropped_row():
     pivot = np.zeros(16, np.uint8)
     x, y = pivot.copy(), pivot.copy()
