@@ -38,7 +38,7 @@ NEAR = CLOSE - (SKETCH - SAME)
 #: Rows of one key compared pair by pair; beyond that, with pivots.
 PAIRWISE = 16
 #: Shingles in one tile, where a document counts as LEAST shingles at least.
-TILE, LEAST = 400_000, 200
+TILE, LEAST = 100_000, 200
 #: Central sets that a large cluster meets, one after the other, before tiles are paired.
 ROUNDS = 2
 _ODD = np.random.default_rng(77).integers(1, 2**63, 2 * T * R, dtype=np.uint64) * U(2) + U(1)

@@ -124,7 +124,7 @@ def edits(words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("tile,pairwise", [(400_000, 16), (4_000, 2)])
+@pytest.mark.parametrize("tile,pairwise", [(100_000, 16), (4_000, 2)])
 def test_minhash_equals_brute_force(spark, monkeypatch, tile, pairwise):
     monkeypatch.setattr(minhash_dedup, "TILE", tile)
     monkeypatch.setattr(minhash_dedup, "PAIRWISE", pairwise)
