@@ -2,31 +2,37 @@
 
 Vectors are rotated onto the principal axes of all of them, so leading coordinates carry most of a
 dot product. The first AXES coordinates put each vector in a cell as wide as the largest distance
-of linked vectors, so only neighbouring cells are compared; a large cell is cut into tiles of about
-TILE rows. A task compares two tiles: dot products are accumulated over leading coordinates, what
-is left is bounded by the product of suffix norms, and rows or whole tiles that cannot reach the
-threshold are left out of the next block. Equal vectors are one class with a multiplicity. A task
-returns link counts and spanning edges, never pairs.
+of linked vectors, so only neighbouring cells are compared, and a vector goes only to those its own
+place in the cell can reach; a large cell is cut into tiles of about TILE rows. A task compares two
+tiles in squares of SIDE rows: dot products are accumulated over leading coordinates, what is left
+is bounded by the product of suffix norms, and rows or whole squares that cannot reach the threshold
+are left out of the next block. Equal vectors are one class with a multiplicity, and classes are
+numbered, so a task returns link counts and spanning edges by class, never pairs.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, prepare
+from .common import Forest, components, discard, materialize, prepare
 
-AXES = 2
-TILE = 1024
+AXES = 3
+#: Vectors in one tile, and in the squares in which two tiles are compared.
+TILE, SIDE = 4096, 1024
 BLOCK = 16
+#: Second moments of up to so many dimensions go through the driver (128 MB); wider vectors keep their own axes.
+WIDEST = 4096
 #: Dot products of rotated vectors this near to the threshold are computed anew from the vectors.
 CLOSE = 1e-9
 
-MADE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+MADE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("class", pa.int64()), ("n", pa.int64())])
+MADE_SQL = "a long, b long, class long, n long"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -34,13 +40,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension d, the d x d rotation, axes by falling variance; second moments are summed over all rows."""
+    """For each dimension d, the d x d rotation, axes by falling variance; second moments are summed over all rows.
+
+    Vectors of over WIDEST components have no rotation: their axes are the components as they are.
+    """
 
     def moments(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             d = batch.column("dim").to_numpy()
-            for k in np.unique(d).tolist():
+            for k in np.unique(d[d <= WIDEST]).tolist():
                 x = _matrix(batch.column("embedding").filter(pa.array(d == k)))
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 sums[k] = sums.get(k, 0) + x.T @ x
@@ -60,10 +69,14 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> np.ndarray:
+def rotated(x: np.ndarray, axes: np.ndarray | None) -> np.ndarray:
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return y if axes is None else y @ axes
+
+
+def links(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: float) -> np.ndarray:
     """Boolean matrix of cosine >= threshold between rows of a and rows of b."""
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    ya, yb = unit(a) @ axes, unit(b) @ axes
+    ya, yb = rotated(a, axes), rotated(b, axes)
     rest = lambda y: np.sqrt(np.maximum(np.cumsum((y * y)[:, ::-1], 1)[:, ::-1], 0))
     ra, rb = rest(ya), rest(yb)
     out = np.zeros((len(a), len(b)), bool)
@@ -89,10 +102,20 @@ def links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> n
     return out
 
 
-def _roots(link: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id of each row's and column's component in the bipartite graph."""
+def _squares(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray | None, threshold: float):
+    """(first row, first column, links) of all squares of x with y, or of x with itself from the diagonal up."""
+    for i in range(0, len(x), SIDE):
+        for j in range(i if y is None else 0, len(x if y is None else y), SIDE):
+            link = links(x[i : i + SIDE], (x if y is None else y)[j : j + SIDE], axes, threshold)
+            if y is None and i == j:
+                np.fill_diagonal(link, False)
+            yield i, j, link
+
+
+def _roots(link: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest number of each row's and column's component in the bipartite graph of rows numbered a and columns numbered b."""
     big = np.iinfo(np.int64).max
-    la, lb = ids_a.copy(), ids_b.copy()
+    la, lb = a.copy(), b.copy()
     while True:
         nb = np.minimum(lb, np.where(link, la[:, None], big).min(0))
         na = np.minimum(la, np.where(link, nb[None, :], big).min(1))
@@ -107,12 +130,15 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     Rows are linked when their labels are equal and not null, their dimensions are equal and their
     cosine in double precision is at least `threshold` (above 0). Vectors that are null, empty, zero
     or hold a null or non-finite component, and rows with a null vec_id, link with nothing. Equal
-    rows are linked with each other; rows that share a vec_id count as vectors of their own and
-    share a component. Other columns are ignored. An empty table gives an empty table.
+    rows are linked with each other; rows that share a vec_id count as vectors of their own, with
+    counts of their own, and share a component. Cosines that tie with the threshold are links. Other
+    columns are ignored. An empty table gives an empty table.
     """
     spark = embeddings.sparkSession
     prepare(spark)
-    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = embeddings.select("vec_id", "label", F.col("embedding").cast(kind).alias("embedding"))
     usable = rows.where(
         F.col("vec_id").isNotNull()
         & F.col("label").isNotNull()
@@ -121,60 +147,77 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
         & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     ).select("vec_id", F.col("label").cast("string").alias("label"), F.size("embedding").alias("dim"), "embedding", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
     key = ["label", "dim", "h1", "h2"]
-    classes = materialize(usable.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
+    classes = usable.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()))  # numbers hold once written
     axes = principal_axes(classes.select("dim", "embedding"))
     width = math.sqrt(2 - 2 * threshold) * (1 + 1e-9)
 
     def place(batches):
+        """Cells, and for each of the 3**AXES neighbours whether the vector's place in its cell reaches it."""
+        steps = np.stack(np.meshgrid(*[(-1, 0, 1)] * AXES, indexing="ij"), -1).reshape(-1, AXES)
         for batch in batches:
             d = batch.column("dim").to_numpy()
-            cell = np.zeros((len(d), AXES), np.int32)
+            at = np.zeros((len(d), AXES))
             for k in np.unique(d).tolist():
                 own = d == k
-                x = _matrix(batch.column("embedding").filter(pa.array(own)))
-                y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[k][:, :AXES]
-                cell[own, : y.shape[1]] = np.floor(y / width)
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * AXES, pa.int32()), pa.array(cell.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cell"])
-
-    placed = classes.select("label", "dim", "rep", "copies", "embedding").mapInArrow(place, "label string, dim int, rep long, copies long, embedding array<double>, cell array<int>")
-    spots = placed.select("*", *(F.col("cell")[k].alias(f"c{k}") for k in range(AXES))).drop("cell")
-    spot = ["label", "dim", *(f"c{k}" for k in range(AXES))]
-    tiles = materialize(spots.groupBy(*spot).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
-    near = spots.join(tiles, spot).withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).drop("tiles")
-    for k in range(AXES):
-        near = near.withColumn(f"o{k}", F.explode(F.array(*(F.col(f"c{k}") + d for d in (-1, 0, 1)))))
-    others = tiles.select("label", "dim", *(F.col(f"c{k}").alias(f"o{k}") for k in range(AXES)), "tiles")
-    near = near.join(others, ["label", "dim", *(f"o{k}" for k in range(AXES))]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    own = F.struct(*(f"c{k}" for k in range(AXES)), "tile")
-    far = F.struct(*(F.col(f"o{k}").alias(f"c{k}") for k in range(AXES)), F.col("other").alias("tile"))
-    near = near.select("label", "dim", "rep", "copies", "embedding", F.least(own, far).alias("left"), F.greatest(own, far).alias("right"), (own <= far).alias("is_left"))
+                y = rotated(_matrix(batch.column("embedding").filter(pa.array(own))), axes.get(k))[:, :AXES]
+                at[own, : y.shape[1]] = y / width
+            cell = np.floor(at)
+            part = (at - cell)[:, None, :]
+            gap = np.where(steps < 0, part, np.where(steps > 0, 1 - part, 0.0))
+            row, which = np.nonzero((gap * gap).sum(2) <= 1 + 1e-9)
+            cells = cell.astype(np.int32)
+            other = cells[row] + steps[which]
+            sides = [pa.array(np.ascontiguousarray(x[:, i]), pa.int32()) for x in (cells[row], other.astype(np.int32)) for i in range(AXES)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), *sides], names=[*batch.schema.names, *own_cell, *other_cell])
+
+    own_cell, other_cell = [f"c{i}" for i in range(AXES)], [f"o{i}" for i in range(AXES)]
+    fields = f"label string, dim int, rep long, copies long, class long, embedding {kind}"
+    placed = classes.select("label", "dim", "rep", "copies", "class", "embedding").mapInArrow(place, f"{fields}, {', '.join(f'{c} int' for c in own_cell + other_cell)}")
+    home = reduce(lambda x, y: x & y, [F.col(c) == F.col(o) for c, o in zip(own_cell, other_cell)])
+    # narrow: only cells and their sizes
+    tiles = materialize(placed.where(home).groupBy("label", "dim", *own_cell).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
+    near = placed.join(tiles, ["label", "dim", *own_cell]).withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int")).drop("tiles")
+    others = tiles.select("label", "dim", *(F.col(c).alias(o) for c, o in zip(own_cell, other_cell)), "tiles")
+    near = near.join(others, ["label", "dim", *other_cell]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    own = F.struct(*own_cell, "tile")
+    far = F.struct(*(F.col(o).alias(c) for c, o in zip(own_cell, other_cell)), F.col("other").alias("tile"))
+    near = near.select("label", "dim", "rep", "copies", "class", "embedding", F.least(own, far).alias("left"), F.greatest(own, far).alias("right"), (own <= far).alias("is_left"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         left = table.column("is_left").to_numpy(zero_copy_only=False)
-        rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        rep, copies, number = (table.column(c).to_numpy() for c in ("rep", "copies", "class"))
         x = _matrix(table.column("embedding").combine_chunks())
         same = table.column("left")[0] == table.column("right")[0]
         i, j = (np.arange(len(rep)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
         if not len(i) or not len(j):
             return MADE.empty_table()
-        link = links(x[i], x[j], axes[x.shape[1]], threshold)
-        if same:
-            np.fill_diagonal(link, False)
-        la, lb = _roots(link, rep[i], rep[j])
-        node, root = (rep[i], la) if same else (np.concatenate([rep[i], rep[j]]), np.concatenate([la, lb]))
-        count = link @ copies[j] if same else np.concatenate([link @ copies[j], link.T @ copies[i]])
-        out = np.flatnonzero((count > 0) | (node != root))
-        return pa.Table.from_arrays([pa.array(root[out]), pa.array(node[out]), pa.array(count[out], pa.int64())], schema=MADE)
-
-    made = materialize(near.groupBy("label", "dim", "left", "right").applyInArrow(compare, "a long, b long, n long"))
-    degree = made.groupBy(F.col("b").alias("rep")).agg(F.sum("n").alias("n"))
+        count, forest = np.zeros(len(rep), np.int64), Forest()
+        for p, q, link in _squares(x[i], None if same else x[j], axes.get(x.shape[1]), threshold):
+            a, b = i[p : p + len(link)], j[q : q + link.shape[1]]
+            count[a] += link @ copies[b]
+            if not same or p != q:
+                count[b] += copies[a] @ link
+            rows, cols = link.any(1), link.any(0)
+            if rows.any():
+                a, b = a[rows], b[cols]
+                la, lb = _roots(link[np.ix_(rows, cols)], a, b)
+                for u, v in zip(np.append(la, lb).tolist(), np.append(a, b).tolist()):
+                    forest.join(u, v)
+        # rows of a component hang on the one with the smallest vec_id
+        linked = np.flatnonzero(count)
+        root = np.array([forest.find(int(u)) for u in linked], np.int64)
+        least = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, rep[linked])
+        return pa.Table.from_arrays([pa.array(least[root], pa.int64()), pa.array(rep[linked]), pa.array(number[linked]), pa.array(count[linked])], schema=MADE)
+
+    made = materialize(near.groupBy("label", "dim", "left", "right").applyInArrow(compare, MADE_SQL))
+    degree = made.groupBy("class").agg(F.sum("n").alias("n"))
     members = usable.select("vec_id", *key).join(classes.select(*key, "rep", "copies"), key)
     groups = components(made.where("a <> b").select("a", "b").unionByName(members.where("rep <> vec_id").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))))
     found = rows.select("vec_id", F.col("label").cast("string").alias("label"), F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
-    # classes and degrees share a representative only within one label and dimension
-    known = classes.select(*key, "rep", "copies").join(degree, "rep", "left").select(*key, (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    known = classes.select(*key, "class", "copies").join(degree, "class", "left").select(*key, (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = found.join(known, key, "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -170,6 +170,7 @@ def test_components(spark):
 @pytest.mark.parametrize("tile", [1024, 8])
 def test_vectors_equal_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    monkeypatch.setattr(embedding_dedup, "SIDE", max(3, tile // 2))
     r = np.random.default_rng(4)
     centre = r.normal(size=(6, 24))
     rows = []
@@ -192,6 +193,14 @@ def test_vectors_equal_brute_force(spark, monkeypatch, tile):
     assert near_vectors(frame(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_rows_of_one_vector_id_count_their_own_links(spark, monkeypatch):
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (6, [1.0, 0.01], 0), (7, [1.0, 0.0], 1), (5, [1.0, 0.001], 1)]
+    for widest in (4096, 1):
+        monkeypatch.setattr(embedding_dedup, "WIDEST", widest)
+        got = near_vectors(frame(spark, rows, "vec_id long, embedding array<double>, label int")).collect()
+        assert sorted(r.n_links for r in got if r.vec_id == 5) == [0, 1, 1] and {r.component_id for r in got} == {5}
+
+
 def test_bounds_stop_early_and_stay_exact():
     r = np.random.default_rng(2)
     a, b = r.normal(size=(50, 40)), r.normal(size=(60, 40))
