@@ -3,16 +3,18 @@
 The distinct white-space units of a batch are concatenated and indexed with a suffix array, sorted
 to the length of the longest piece. Every piece of the vocabulary is found by binary search, all
 pieces at once, as a range of suffixes; the ranges become edges (position, length, piece), dealt to
-their positions by a counting sort. Relaxation then works on the edges of all units at once: for a
-BPE model, which orders merges by score, each round joins in every unit the adjacent symbols whose
-edge has the best score (leftmost of equals), until no edge joins two symbols. Characters without a
-piece fall back to byte pieces.
+their positions by a counting sort. A place that no edge covers is never merged over, so units fall
+into segments that are independent. Relaxation then works on the edges of all segments at once: for a
+BPE model, which orders merges by score, each round joins in every segment the adjacent symbols whose
+edge has the best score (leftmost of equals), until no edge joins two symbols; the same edges of a
+long segment are relaxed through a priority queue. Characters without a piece fall back to byte pieces.
 
 The model file is read on the driver; pieces go to the tasks, and no tokenizer is trained.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 from collections.abc import Iterator
@@ -29,18 +31,40 @@ from .kernels import multi_range, text_bytes
 SPACE = "\u2581"
 #: Text gathered before units are made distinct, characters indexed at once, units remembered by a worker.
 GATHER, INDEX, KNOWN = 4 << 20, 200_000, 250_000
-#: Units longer than this are merged one by one with a heap.
+#: Segments longer than this are relaxed through a priority queue: rounds would be as many as their merges.
 LONG = 64
+# every byte that is no part of a character is one replacement character
+codecs.register_error("each_byte_seqsieve", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 NONE = np.iinfo(np.int64).max
 
 
+def _check(model) -> None:
+    """Only what encode() computes: BPE over text as it is, with one space put before it."""
+    rules, training = model.normalizer_spec, model.trainer_spec
+    wrong = []
+    if training.model_type != training.BPE:
+        wrong.append("its type is not BPE")
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces:
+        wrong.append("it normalises texts")
+    if not rules.add_dummy_prefix or not rules.escape_whitespaces or training.treat_whitespace_as_suffix:
+        wrong.append("it treats spaces in another way")
+    if any(p.type == p.USER_DEFINED for p in model.pieces):
+        wrong.append("it has symbols of the user")
+    if wrong:
+        raise ValueError(f"this model cannot be encoded: {', '.join(wrong)}")
+
+
 class Pieces:
     """What encoding needs of a model; plain arrays, so it travels to the tasks."""
 
     def __init__(self, model_file: str) -> None:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model.serialized_model_proto())
+        _check(proto)
         n = model.get_piece_size()
         self.texts = [model.id_to_piece(i) for i in range(n)]
         score = np.array([model.get_score(i) for i in range(n)])
@@ -55,7 +79,6 @@ class Pieces:
         normal = np.flatnonzero(~special)
         self.single = {self.texts[i]: int(i) for i in normal.tolist() if len(self.texts[i]) == 1}
         self.multi = np.array([i for i in normal.tolist() if len(self.texts[i]) > 1], np.int64)
-        self.by_text = {self.texts[i]: int(i) for i in self.multi.tolist()}
         self.longest = max([len(self.texts[i]) for i in self.multi.tolist()], default=1)
         self.codes = np.zeros((len(self.multi), self.longest), np.uint32)
         for row, i in enumerate(self.multi.tolist()):
@@ -73,6 +96,8 @@ class Pieces:
                 out.append(" \u2047 ".encode())
             else:
                 out.append(self.texts[i].replace(SPACE, " ").encode())
+        #: Of each id: 0 says nothing, 1 starts with the space that may have been put before a text, 2 neither.
+        self.opens = np.array([0 if model.is_control(i) else 1 if not special[i] and self.texts[i].startswith(SPACE) else 2 for i in range(n)], np.int8)
         self.bytes_at = np.append(0, np.cumsum([len(x) for x in out]))
         self.bytes = np.frombuffer(b"".join(out), np.uint8)
 
@@ -103,8 +128,8 @@ def _bound(keys: np.ndarray, probe: np.ndarray, right: bool) -> np.ndarray:
     return low
 
 
-def edges(chars: np.ndarray, ends: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Table of piece ids by position and length (-1: none) for pieces of two characters and more.
+def edges(chars: np.ndarray, ends: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Table of piece ids by position and length (-1: none) for pieces of two characters and more, and where segments start.
 
     chars: code points of concatenated units; ends: for each character, where its unit ends.
     """
@@ -144,20 +169,21 @@ def edges(chars: np.ndarray, ends: np.ndarray, pieces: Pieces) -> np.ndarray:
     inside = position + length[which] <= ends[position]
     position, which = position[inside], which[inside]
     table[position, length[which]] = pieces.multi[use][which]
-    return table
+    over = np.bincount(position + 1, minlength=len(chars) + 1) - np.bincount(position + length[which], minlength=len(chars) + 1)
+    return table, np.cumsum(over)[: len(chars)] == 0
 
 
-def _heap_merge(text: str, pieces: Pieces) -> list[tuple[int, int]]:
-    """(start, length) of the symbols of one long unit."""
-    n = len(text)
+def _queue(table: np.ndarray, pieces: Pieces) -> list[tuple[int, int]]:
+    """(start, length) of the symbols of one long segment, whose edges are table."""
+    n = len(table)
     size, after, prev = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int, int]] = []
 
     def offer(a: int) -> None:
         b = after[a]
         if 0 <= a and b < n and size[a] + size[b] <= pieces.longest:
-            i = pieces.by_text.get(text[a : b + size[b]])
-            if i is not None:
+            i = table[a, size[a] + size[b]]
+            if i >= 0:
                 heapq.heappush(heap, (int(pieces.rank[i]), a, size[a], size[b]))
 
     for a in range(n - 1):
@@ -178,7 +204,7 @@ def _heap_merge(text: str, pieces: Pieces) -> list[tuple[int, int]]:
 
 
 def relax(start_of: np.ndarray, table: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of all symbols once no edge joins two of them. start_of: first character of each unit, and the end."""
+    """Start and length of all symbols once no edge joins two of them. start_of: first character of each segment, and the end."""
     n = len(table)
     size = np.ones(n, np.int64)
     alive = np.ones(n, bool)
@@ -204,32 +230,48 @@ def relax(start_of: np.ndarray, table: np.ndarray, pieces: Pieces) -> tuple[np.n
     return start, size[start]
 
 
+def encode_long(unit: str, pieces: Pieces) -> np.ndarray:
+    """Token ids of a unit of any length, window by window: each ends at the last place in it that no edge covers."""
+    out, at, size = [], 0, INDEX
+    while at < len(unit):
+        part = unit[at : at + size + pieces.longest]
+        if at + len(part) < len(unit):
+            chars = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            cut = np.flatnonzero(edges(chars, np.full(len(chars), len(chars)), pieces)[1][1 : size + 1])
+            if not len(cut):
+                size *= 2
+                continue
+            part = part[: int(cut[-1]) + 1]
+        out.append(encode_units([part], pieces)[0])
+        at, size = at + len(part), INDEX
+    return np.concatenate(out)
+
+
 def encode_units(units: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all units, and their n+1 offsets."""
     joined = "".join(units)
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.append(0, np.cumsum([len(u) for u in units]))
     ends = np.repeat(at[1:], np.diff(at))
-    table = edges(chars, ends, pieces)
-    long_ = np.flatnonzero(np.diff(at) > LONG).tolist()
-    if long_:
-        for u in long_:  # settled apart: without edges they take no part in the rounds
-            table[at[u] : at[u + 1]] = -1
-    start, size = relax(at, table, pieces)
-    if long_:
+    table, opens = edges(chars, ends, pieces)
+    opens[at[:-1]] = True
+    segments = np.append(np.flatnonzero(opens), len(chars))
+    long_ = np.flatnonzero(np.diff(segments) > LONG).tolist()
+    held = [(a, table[a:b].copy()) for a, b in ((int(segments[i]), int(segments[i + 1])) for i in long_)]
+    for a, own in held:  # settled apart: without edges they take no part in the rounds
+        table[a : a + len(own)] = -1
+    start, size = relax(segments, table, pieces)
+    if held:
         keep = np.ones(len(start), bool)
-        more_s, more_n = [], []
-        for u in long_:
-            keep[np.searchsorted(start, at[u]) : np.searchsorted(start, at[u + 1])] = False
-            for s, n in _heap_merge(units[u], pieces):
-                more_s.append(at[u] + s)
-                more_n.append(n)
-        start, size = np.append(start[keep], more_s).astype(np.int64), np.append(size[keep], more_n).astype(np.int64)
+        more: list[tuple[int, int]] = []
+        for a, own in held:
+            table[a : a + len(own)] = own
+            keep[np.searchsorted(start, a) : np.searchsorted(start, a + len(own))] = False
+            more += [(a + s, n) for s, n in _queue(own, pieces)]
+        start, size = np.append(start[keep], [s for s, _ in more]).astype(np.int64), np.append(size[keep], [n for _, n in more]).astype(np.int64)
         order = np.argsort(start, kind="stable")
         start, size = start[order], size[order]
     token = table[start, np.minimum(size, pieces.longest)].astype(np.int64)
-    for k in np.flatnonzero((size > 1) & (token < 0)).tolist():
-        token[k] = pieces.by_text[joined[start[k] : start[k] + size[k]]]
     one = np.flatnonzero(size == 1)
     code, which = np.unique(chars[start[one]], return_inverse=True)
     count = np.ones(len(start), np.int64)
@@ -253,6 +295,11 @@ def encode_units(units: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarr
     return out.astype(np.int32), offsets
 
 
+def _whole(coded: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens, and where those of each unit end."""
+    return coded[0], coded[1][1:]
+
+
 class _Memory:
     """Units this worker has encoded; emptied when full."""
 
@@ -268,16 +315,26 @@ class _Memory:
             self.__init__()
             new = units
         flats, ats, chunk, size = [self.flat], [self.at], [], 0
-        base = len(self.flat)
+
+        def add(flat: np.ndarray, ends: np.ndarray) -> None:
+            flats.append(flat)
+            ats.append(ends + sum(map(len, flats[:-1])))
+
         for k, u in enumerate(new):
+            if len(u) > INDEX and chunk:
+                add(*_whole(encode_units(chunk, pieces)))
+                chunk, size = [], 0
+            if len(u) > INDEX:
+                flat = encode_long(u, pieces)
+                add(flat, np.array([len(flat)]))
+                continue
             chunk.append(u)
             size += len(u)
-            if size >= INDEX or k == len(new) - 1:
-                flat, at = encode_units(chunk, pieces)
-                flats.append(flat)
-                ats.append(at[1:] + base)
-                base += len(flat)
+            if size >= INDEX:
+                add(*_whole(encode_units(chunk, pieces)))
                 chunk, size = [], 0
+        if chunk:
+            add(*_whole(encode_units(chunk, pieces)))
         for u in new:
             self.known[u] = len(self.known)
         self.flat, self.at = np.concatenate(flats), np.concatenate(ats)
@@ -333,8 +390,10 @@ def encode(documents: DataFrame, model_file: str, column: str = "text", decoded:
     With `decoded`, a column of that name holds what the ids decode to, made in the same pass.
 
     A null or empty text has no tokens (a null text has null tokens). Rows are independent, so
-    repeated rows agree; an empty table gives an empty table. Other columns stay, but for ones named
-    n_tokens or tokens, which are replaced.
+    repeated rows agree; an empty table gives an empty table. Long texts are encoded whole, long runs
+    without a space in windows. Of equal scores the leftmost merge comes first, so no tie is left
+    open. Other columns stay, but for ones named n_tokens or tokens, which are replaced. Models that
+    are not BPE over unchanged text are an error.
     """
     prepare(documents.sparkSession)
     added = ["n_tokens", "tokens", *[decoded] * bool(decoded)]
@@ -375,12 +434,29 @@ def encode(documents: DataFrame, model_file: str, column: str = "text", decoded:
 
 
 def decode_texts(ids: np.ndarray, bounds: np.ndarray, valid: np.ndarray, pieces: Pieces) -> pa.Array:
-    """Text of ids[bounds[i]:bounds[i+1]], without the space put before it; null where not valid."""
+    """Text of ids[bounds[i]:bounds[i+1]], whatever ids they are; null where not valid.
+
+    A space at the start of the first piece that says anything is the one put before a text, and goes.
+    """
     ids = ids.astype(np.int64)
     first, size = pieces.bytes_at[ids], pieces.bytes_at[ids + 1] - pieces.bytes_at[ids]
     flat = pieces.bytes[np.repeat(first, size) + multi_range(size)]
     ends = np.append(0, np.cumsum(size))[bounds]
-    texts = [flat[a + 1 : b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    at, stop = bounds[:-1].copy(), bounds[1:]
+    while len(row := np.flatnonzero((at < stop) & (pieces.opens[ids[np.minimum(at, max(len(ids) - 1, 0))]] == 0) if len(ids) else np.zeros(0, bool))):
+        at[row] += 1
+    skip = np.zeros(len(at), np.int64)
+    some = np.flatnonzero(at < stop)
+    skip[some] = pieces.opens[ids[at[some]]] == 1
+    spell = lambda a, b: flat[a:b].tobytes().decode("utf-8", "each_byte_seqsieve")
+    texts = [spell(a + s, b) for a, b, s in zip(ends[:-1].tolist(), ends[1:].tolist(), skip.tolist())]
+    silent = np.flatnonzero(pieces.opens[ids] == 0)
+    after = np.append(0, np.cumsum(size))
+    for i in np.unique(np.searchsorted(bounds, silent, "right") - 1).tolist():  # no character goes over an id that says nothing
+        begin = int(ends[i] + skip[i])
+        stops = np.maximum(begin, after[silent[(silent >= bounds[i]) & (silent < bounds[i + 1])]]).tolist()
+        cut = [begin, *stops, int(ends[i + 1])]
+        texts[i] = "".join(spell(a, b) for a, b in zip(cut, cut[1:]))
     return pa.array(texts, pa.string(), mask=~valid)
 
 
