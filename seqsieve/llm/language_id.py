@@ -1,14 +1,16 @@
 """Language identification with a blended-spectrum string kernel.
 
-A text is the set of its byte n-grams of 1 to ORDER bytes (letters lower-cased), each hashed to one
-of SLOTS presence bits. The kernel of two texts is the size of the common set over the geometric
-mean of both sizes. Landmarks from the training sample give Nystroem features, and one ridge
-regression for each language against the rest is fitted on them. The kernel against all landmarks
-and the regression are both linear in the presence bits, so scoring a batch is one matrix product
-of bits with folded weights.
+A text is cut into equal segments of up to SEGMENT bytes. A segment is the set of its byte n-grams of
+1 to ORDER bytes (letters lower-cased), each hashed to one of SLOTS presence bits; the kernel of two
+segments is the size of the common set over the geometric mean of both sizes, and a text is the mean
+of its segments, so the bits of a long text do not fill up. Landmarks from the training sample give
+Nystroem features, and one ridge regression for each language against the rest is fitted on them. The
+kernel against all landmarks and the regression are both linear in the presence bits, so scoring a
+batch is one matrix product of bits with folded weights.
 
 Training reads a bounded sample: SAMPLE rows, split evenly between all languages (one row of each
-at least), chosen by hash; LANDMARKS of them serve as landmarks.
+at least), chosen by a hash of id and text, and of each one segment chosen by that hash; LANDMARKS of
+them serve as landmarks.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_map, prepare
-from .kernels import text_bytes
+from .kernels import multi_range, text_bytes
 
 ORDER = 4
 BITS = 15
@@ -30,7 +32,7 @@ SAMPLE, LANDMARKS = 2048, 512
 #: Rows drawn by hash for each row of the sample.
 SPARE = 4
 RIDGE, SHARP = 1e-2, 4.0
-ROWS, BYTES = 256, 1 << 20
+SEGMENT, ROWS = 8192, 256
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -38,9 +40,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
 
 
-def presence(text: pa.Array) -> np.ndarray:
-    """uint8 matrix of texts by presence bits."""
-    data, off = text_bytes(pc.utf8_lower(text))
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the equal segments of all texts in order, and the text of each; an empty text is one empty segment."""
+    size = np.diff(offsets)
+    count = np.maximum(1, -(-size // SEGMENT))
+    row = np.repeat(np.arange(len(size)), count)
+    nth = multi_range(count)
+    return np.append(offsets[:-1][row] + size[row] * nth // count[row], offsets[-1]), row
+
+
+def presence(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """uint8 matrix of segments by presence bits."""
+    data, off = data[bounds[0] : bounds[-1]], bounds - bounds[0]
     rows = len(off) - 1
     out = np.zeros((rows, SLOTS), np.uint8)
     flat = out.reshape(-1)
@@ -57,46 +68,39 @@ def presence(text: pa.Array) -> np.ndarray:
     return out
 
 
-def _chunks(text: pa.Array):
-    """Slices of up to ROWS texts and about BYTES bytes."""
-    size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)))
-    at = 0
-    while at < len(text):
-        to = min(at + ROWS, max(at + 1, int(np.searchsorted(size, size[at] + BYTES))))
-        to = min(to, len(text))
-        yield text.slice(at, to - at)
-        at = to
-
-
 def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and folded weights (SLOTS x languages), from documents (doc_id, text, lang) that are not held out."""
     prepare(documents.sparkSession)
-    rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    # rows that repeat have one draw and count once
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).collect()}
     langs = sorted(count)
     if not langs:
         return [], np.zeros((SLOTS, 0), np.float32)
     each = max(1, SAMPLE // len(langs))
-    # about SPARE * each rows of a language have a hash below its bound, so ranking takes as many at any size
+    # about SPARE * each rows of a language have a draw below its bound, so ranking takes as many at any size
     spare = SPARE * each
     bound = {lang: 2**63 - 1 if n <= spare else -(2**63) + 2**64 * spare // n for lang, n in count.items()}
-    draw = F.xxhash64("doc_id", F.lit(1))
-    drawn = rows.where(F.col("lang").isin(langs)).where(draw <= F.element_at(F.create_map(*(F.lit(x) for pair in bound.items() for x in (pair[0], np.int64(pair[1])))), F.col("lang")))
-    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
-    chosen = drawn.select("doc_id", "lang", F.row_number().over(order).alias("nth")).where(F.col("nth") <= each).select("doc_id").distinct()
-    ids = [r["doc_id"] for r in chosen.collect()]
+    below = F.element_at(F.create_map(*(F.lit(x) for pair in bound.items() for x in (pair[0], np.int64(pair[1])))), F.col("lang"))
 
     def bits(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [np.packbits(x) for part in _chunks(batch.column("text")) for x in presence(part)]
-        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["lang", "bits"])
-
-    sample = arrow_map(rows.where(F.col("doc_id").isin(ids) & F.col("lang").isin(langs) & F.col("text").rlike(r"\p{L}")).select("text", "lang"), bits, "lang string, bits binary")
-    got = sorted((r["lang"], bytes(r["bits"])) for r in sample.limit(2 * max(SAMPLE, len(langs))).collect())
+        data, off = text_bytes(pc.utf8_lower(batch.column("text")))
+        limits, row = segments(data, off)
+        first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        pick = first[:-1] + (batch.column("draw").to_numpy().view(np.uint64) % np.diff(first).astype(np.uint64)).astype(np.int64)
+        packed = [np.packbits(presence(data, limits[i : i + 2])[0]).tobytes() for i in pick.tolist()]
+        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array(packed, pa.binary())], names=["lang", "draw", "bits"])
+
+    drawn = arrow_map(rows.where(F.col("draw") <= below), bits, "lang string, draw long, bits binary").groupBy("lang", "draw").agg(F.min("bits").alias("bits"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    sample = drawn.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
+    got = sorted((r["lang"], r["draw"], bytes(r["bits"])) for r in sample.collect())
     if not got:
         return [], np.zeros((SLOTS, 0), np.float32)
-    bits_of = lambda rows: np.unpackbits(np.frombuffer(b"".join(got[i][1] for i in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    langs = sorted({lang for lang, _ in got})
-    y = np.where(np.array([lang for lang, _ in got])[:, None] == np.array(langs)[None, :], 1.0, -1.0)
+    bits_of = lambda rows: np.unpackbits(np.frombuffer(b"".join(got[i][2] for i in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+    langs = sorted({lang for lang, *_ in got})
+    y = np.where(np.array([lang for lang, *_ in got])[:, None] == np.array(langs)[None, :], 1.0, -1.0)
     pick = np.random.default_rng(0).permutation(len(got))[:LANDMARKS]
     z = bits_of(pick)
     z /= np.sqrt(z.sum(1, keepdims=True))
@@ -117,26 +121,30 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFr
     """documents with lang_pred (string) and score (double, 0 to 1) appended; only text is looked at.
 
     A text that is null or has no letter, and any text where no language was learned, is `und`, 0.
-    The score is the softmax weight of the chosen language.
+    The score is the softmax weight of the chosen language; of equal ones the first by name is chosen.
+    Texts of any length are looked at as a whole. Columns of these names are replaced.
     """
     langs, weight = model
+    documents = documents.drop("lang_pred", "score")
     names = np.array([*langs, "und"], object)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, lang_pred string, score double"
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        best, score = [], []
-        for text in _chunks(batch.column("text")):
+        text, n = batch.column("text"), batch.num_rows
+        best, score = np.full(n, len(langs)), np.zeros(n)
+        if langs:
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            if not langs:
-                best.append(np.zeros(len(text), np.int64))
-                score.append(np.zeros(len(text)))
-                continue
-            x = presence(text)
-            f = (x.astype(np.float32) @ weight) / np.sqrt(np.maximum(x.sum(1, dtype=np.int64), 1))[:, None]
-            p = np.exp(SHARP * (f - f.max(1, keepdims=True)).astype(np.float64))
-            best.append(np.where(letters, f.argmax(1), len(langs)))
-            score.append(np.where(letters, 1 / p.sum(1), 0.0))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))], names=[*batch.schema.names, "lang_pred", "score"])
+            data, off = text_bytes(pc.utf8_lower(text))
+            limits, row = segments(data, off)
+            sums = np.zeros((n, len(langs)))
+            for at in range(0, len(row), ROWS):
+                x = presence(data, limits[at : at + ROWS + 1])
+                f = (x.astype(np.float32) @ weight) / np.sqrt(np.maximum(x.sum(1, dtype=np.int64), 1))[:, None]
+                np.add.at(sums, row[at : at + ROWS], f)
+            f = sums / np.bincount(row, minlength=n)[:, None]
+            p = np.exp(SHARP * (f - f.max(1, keepdims=True)))
+            best, score = np.where(letters, f.argmax(1), len(langs)), np.where(letters, 1 / p.sum(1), 0.0)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 
     return arrow_map(documents, kernel, schema)
 
@@ -144,8 +152,8 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFr
 def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of documents (doc_id, text, lang).
 
-    Null ids are never held out and never learned from. Repeated rows get equal results; other
-    columns are ignored; an empty table gives an empty table.
+    Null ids are never held out and never learned from. Repeated rows get equal results, as reruns do;
+    other columns are ignored; an empty table gives an empty table.
     """
     model = fit(documents.select("doc_id", "text", "lang"))
     out = predict(documents.select("doc_id", "text"), model)

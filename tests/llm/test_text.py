@@ -171,6 +171,40 @@ def test_sentencepiece_round_trip(spark):
     assert encode(df.limit(0), MODEL_FILE).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(MODEL_FILE), reason="no model file")
+@pytest.mark.parametrize("index", [200_000, 700])
+def test_sentencepiece_of_long_units_and_any_ids(monkeypatch, index):
+    import sentencepiece
+
+    from seqsieve.llm import sentencepieces as S
+
+    monkeypatch.setattr(S, "INDEX", index)
+    model, pieces, memory = sentencepiece.SentencePieceProcessor(model_file=MODEL_FILE), S.Pieces(MODEL_FILE), S._Memory()
+    spoken = [model.id_to_piece(i).replace(S.SPACE, "") for i in range(300, 32000)]
+    texts = ["".join(chr(R.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "的一是不了人我在有他这为之大" * 200, "a" * 5000, "ab" * 700, "日本語の文章です。" * 300 + " x", "".join(R.choice(spoken) for _ in range(800))]
+    flat, at = S.encode_texts(pa.array(texts), pieces, memory)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [model.encode(t) for t in texts]
+    for _ in range(300):
+        ids = [R.choice([R.randrange(300), R.randrange(32000), 0, 1, 2]) for _ in range(R.randrange(9))]
+        assert S.decode_texts(np.array(ids, np.int64), np.array([0, len(ids)]), np.array([True]), pieces)[0].as_py() == model.decode(ids), ids
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL_FILE), reason="no model file")
+def test_sentencepiece_takes_bpe_over_unchanged_text_only(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    from seqsieve.llm.sentencepieces import Pieces
+
+    for change in ("m.trainer_spec.model_type = 1", "m.normalizer_spec.remove_extra_whitespaces = True", "m.normalizer_spec.add_dummy_prefix = False"):
+        m = proto.ModelProto()
+        with open(MODEL_FILE, "rb") as f:
+            m.ParseFromString(f.read())
+        exec(change)
+        (tmp_path / "m.model").write_bytes(m.SerializeToString())
+        with pytest.raises(ValueError, match="cannot be encoded"):
+            Pieces(str(tmp_path / "m.model"))
+
+
 SYLLABLES = {"en": "the of and ing tion er".split(), "de": "der und ein schen keit ü".split(), "fr": "le que ment eux é ou".split()}
 
 
@@ -234,6 +268,18 @@ def test_pipeline_keeps_texts_when_no_language_is_known(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
 
 
+def test_language_id_of_texts_of_any_length(spark):
+    prose = lambda lang, n: " ".join("".join(R.choice(SYLLABLES[lang]) for _ in range(R.randrange(1, 4))) for _ in range(n))
+    rows = [(i, prose(lang, 30), lang) for i, lang in enumerate(R.choice(list(SYLLABLES)) for _ in range(300))]
+    rows += [(1000, rows[0][1], rows[0][2])] * 500  # one row many times does not crowd out the others
+    truth = {2000 + n: lang for n, lang in enumerate([*SYLLABLES] * 3)}
+    rows += [(i, prose(lang, (300, 3_000, 30_000)[(i - 2000) // 3]), None) for i, lang in truth.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identify(df).collect()}
+    assert all(got[i].lang_pred == lang for i, lang in truth.items())
+    assert all(r.score == got[r.doc_id].score and r.lang_pred == got[r.doc_id].lang_pred for r in identify(df.repartition(7)).collect())
+
+
 def test_language_id_learns_more_than_64_languages(spark):
     rows = []
     for n in range(70):
