@@ -87,6 +87,24 @@ def test_backoff_equals_sql(spark, monkeypatch, block):
     assert backoff_scores(df.limit(0)).count() == 0
 
 
+def test_every_n_gram_counts_without_a_cutoff(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 200)
+    rows = [(i, PROSE(R.randrange(40)).lower()) for i in range(30)]
+    count, words, want = collections.Counter(), 0, {}
+    for _, t in rows:
+        w = t.split()
+        words += len(w)
+        count.update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    for i, t in rows:
+        w, total = t.split(), 0.0
+        for at in range(len(w)):
+            k = min(3, at + 1)  # every n-gram of a document was counted, so none backs off
+            total += math.log(count[tuple(w[at - k + 1 : at + 1])] / (count[tuple(w[at - k + 1 : at])] if k > 1 else words))
+        want[i] = total
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.logprob for r in backoff_scores(df, min_count=1).collect()} == pytest.approx(want)
+
+
 def test_lower_orders(spark):
     df = spark.createDataFrame([(1, "a b a b"), (2, "a c")], "doc_id long, text string")
     got = {r.doc_id: r.logprob for r in backoff_scores(df, 1).collect()}
