@@ -9,7 +9,8 @@ kinds, votes and feature buckets, never by the corpus. Base spans always stay; c
 overlap none are added where the classifier says yes.
 
 Positions come from splitting the text at matches: a start is the length of all gaps and matches
-before it. Patterns are written so that every attempt fails or ends in time linear in the text.
+before it, summed in groups, so a text of many matches takes time in proportion to them. Patterns are
+written so that every attempt fails or ends in time linear in the text.
 """
 
 from __future__ import annotations
@@ -44,19 +45,29 @@ SHAPE = {
     "card": r"^[3-6](?:[0-9]{11,18}|[0-9]{3}[\x20-](?:[0-9]{4}[\x20-]){2}[0-9]{1,7})$",
     "phone": r"^\+[1-9][0-9]{0,2}[\x20(.-]",
     "email_spelled": r"(?i)dot[\])]\x20?[a-z]{2,24}$",
-    "phone_local": r"^\([2-9][0-9]{2}\)\x20[2-9]",
+    "phone_local": r"^\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
     "secret": r"(?=.*[0-9])(?=.*[A-Za-z])",
 }
+# fixed values: generic and country domains in wide use
+DOMAINS = """
+com org net edu gov mil int info biz name pro io co ai app dev me tv cc xyz online site shop tech cloud
+ae ar at au be bg bo br by ca ch cl cn cr cy cz de dk do ec ee eg es eu fi fr ge gr gt hk hn hr hu id ie il in ir is it
+jp ke kr kz lb lt lu lv ma md mk mt mx my ng ni nl no np nz pa pe ph pk pl pt py qa ro rs ru sa se sg si sk sv th tn tr
+tw tz ua ug uk us uy uz ve vn za
+""".split()
+#: What lists of issued values say, apart from the form: domains, address blocks, issuers, country codes, areas, key prefixes.
 GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|io|info|biz|de|fr|es|uk|it|nl|eu|ch|at|us)$",
-    "ip": r"^(?!0\.|127\.|255\.|2(?:2[4-9]|[3-4][0-9])\.)",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
-    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "email_spelled": r"(?i)[\])]\x20?(?:com|org|net|edu|gov|io|info|de|fr|es|uk)$",
-    "phone_local": r"^\((?:2[0-9]{2}|3[0-9]{2}|4[0-9]{2}|5[0-9]{2}|6[0-9]{2}|7[0-9]{2}|8[0-9]{2}|9[0-9]{2})\)",
-    "ssn": r"^[0-7]",
-    "secret": r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|AKIA[A-Z0-9]+|gh[pousr]_\w+|sk-\w+)$",
+    "email": rf"(?i)\.(?:{'|'.join(DOMAINS)})$",
+    "ip": r"^(?!0*(?:0|127|255|2(?:2[4-9]|[3-4][0-9]))\.)",
+    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|4[4-9]|5))",
+    "phone": r"^\+(?:1|7|2(?:0|7|1[1-368]|[2-6][0-9]|9[01789])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[013])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|7[0-9]|8[0-9]|9[0-2])|8(?:[1246]|0[08]|5[0256]|7[018]|8[0268])|9(?:[0-58]|[67][0-9]|9[2-68]))",
+    "email_spelled": rf"(?i)[\])]\x20?(?:{'|'.join(DOMAINS)})$",
+    # areas of the North American plan: no service codes, no expansion or reserved blocks
+    "phone_local": r"^\((?!.11|37|96)[2-9][0-8][0-9]\)",
+    # areas issued before numbers were drawn at random
+    "ssn": r"^(?!000|666)(?:[0-6][0-9]{2}|7(?:[0-2][0-9]|3[0-3]|5[0-9]|6[0-9]|7[0-2]))",
+    "secret": r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|AKIA[A-Z0-9]+|gh[pousr]_\w+|sk-\w+|xox[abprs]-[\w-]+|AIza[\w-]+|ey[JK][\w-]+)$",
 }
 CONTEXT = {
     "email": r"(?i)mail|contact|write|correo|kontakt|courriel",
@@ -72,22 +83,53 @@ AGAINST = r"(?i)version|release|isbn|doi|page|chapter|figure|invoice|order"
 BEFORE = 24
 
 
+#: Elements of one group in a running sum, and code points of one block of a text that is cut.
+GROUP, BLOCK = 128, 4096
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, merge, zero: int) -> Column:
+    """array<int>: the merge of all elements before each. In groups, as adding to an array copies it."""
+
+    def run(items: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, first, lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    start = F.lit(zero).cast("int")
+    groups = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(GROUP)), lambda i: F.slice(v, i, GROUP))
+    whole = lambda g: F.zip_with(g, run(F.transform(g, lambda x: F.aggregate(x, start, lambda a, b: merge(a, b))), start), lambda x, s: run(x, s))
+    return _let(values, lambda v: F.flatten(_let(groups(v), whole)))
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.slice(F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g")), 1, F.size(found))
+    """array<struct<start, end, value, before>> of all matches, in code points; before: up to BEFORE code points, of three earlier matches at most."""
+
+    def placed(found: Column) -> Column:
+        zipped = F.slice(F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g")), 1, F.size(found))
+
+        def spans(z: Column, at: Column) -> Column:
+            tail = lambda x: F.right(x, F.lit(BEFORE))
+            past = lambda i, n: F.coalesce(F.concat(tail(F.get(z, i - n)["g"]), tail(F.get(z, i - n)["m"])), F.lit(""))
+
+            def span(x: Column, i: Column) -> Column:
+                start = F.get(at, i) + F.length(x["g"])
+                before = tail(F.concat(past(i, 3), past(i, 2), past(i, 1), tail(x["g"])))
+                return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"), before.alias("before"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+            return F.transform(z, span)
 
-    none = F.array().cast("array<struct<start: int, end: int, value: string>>")
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
-    some = F.size(found) > 0
-    if kind in NEEDS:
-        some = reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in NEEDS[kind])) & some
-    return F.when(some, spans).otherwise(none)
+        sizes = lambda z: F.transform(z, lambda x: F.length(x["g"]) + F.length(x["m"]))
+        return _let(zipped, lambda z: _let(_running(sizes(z), lambda a, b: a + b, 0), lambda at: spans(z, at)))
+
+    none = F.array().cast("array<struct<start: int, end: int, value: string, before: string>>")
+    spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
+    if kind not in NEEDS:
+        return spans
+    return F.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in NEEDS[kind])), spans).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -130,14 +172,13 @@ def candidates(text: Column) -> Column:
         spans = _matches(text, kind, (BASE | ADDED)[kind])
         if kind in BASE:
             spans = F.filter(spans, _valid(kind))
-        out.append(F.transform(spans, _described(text, kind, nth)))
+        out.append(F.transform(spans, _described(kind, nth)))
     return F.concat(*out)
 
 
-def _described(text: Column, kind: str, nth: int):
+def _described(kind: str, nth: int):
     def describe(x: Column) -> Column:
-        before = text.substr(F.greatest(x["start"] - BEFORE + 1, F.lit(1)), F.least(x["start"], F.lit(BEFORE)))
-        votes = [v.alias(f"v{i}") for i, v in enumerate(_votes(kind, before, x["value"]))]
+        votes = [v.alias(f"v{i}") for i, v in enumerate(_votes(kind, x["before"], x["value"]))]
         size = F.when(F.length(x["value"]) >= 24, 2).when(F.length(x["value"]) >= 12, 1).otherwise(0)
         made = x["value"].rlike("[0-9]").cast("int") + x["value"].rlike("[A-Za-z]").cast("int")
         return F.struct(F.lit(nth).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), *votes, size.alias("size"), made.alias("made"))
@@ -225,21 +266,30 @@ def _score(c: Column, weight: dict[str, float]) -> Column:
 def pii_spans(text: Column, weight: dict[str, float]) -> Column:
     """array<struct<start, kind, end>> in order: base spans, and candidates the classifier accepts that overlap no base span."""
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
+    far = 2**31 - 1
+    is_base = lambda x: x["kind"] < len(BASE)
+    shape = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    def apart(sorted_: Column) -> Column:
+        """Base spans come before others of the same start, so a base span overlaps one that ends behind its start before it or starts before its end behind it."""
+        ends = _running(F.transform(sorted_, lambda x: F.when(is_base(x), x["end"]).otherwise(0)), F.greatest, 0)
+        starts = F.reverse(_running(F.reverse(F.transform(sorted_, lambda x: F.when(is_base(x), x["start"]).otherwise(far))), F.least, far))
+        keep = lambda before, behind: F.filter(sorted_, lambda x, i: is_base(x) | ((F.get(before, i) <= x["start"]) & (F.get(behind, i) >= x["end"])))
+        return _let(ends, lambda before: _let(starts, lambda behind: keep(before, behind)))
 
     def pick(all_: Column) -> Column:
-        base = F.filter(all_, lambda x: x["kind"] < len(BASE))
-        added = F.filter(all_, lambda x: (x["kind"] >= len(BASE)) & (_score(x, weight) > 0) & ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-        return F.array_sort(F.transform(F.concat(base, added), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+        chosen = F.filter(all_, lambda x: is_base(x) | (_score(x, weight) > 0))
+        return _let(F.array_sort(shape(chosen)), lambda a: F.when(F.exists(a, lambda x: ~is_base(x)), apart(a)).otherwise(a))
 
-    # the single-element transform names the candidates once, so they are not computed for each use
-    return F.coalesce(F.element_at(F.transform(F.array(candidates(text)), pick), 1), none)
+    return F.coalesce(_let(candidates(text), pick), none)
 
 
 def find_pii(documents: DataFrame, weight: dict[str, float] | None = None) -> DataFrame:
     """documents with spans: array<struct<start, kind, end>> (code points, end exclusive; kind indexes KINDS), by start, then kind.
 
-    A null text counts as empty. Rows are independent, so repeated rows get equal spans; an empty
-    table gives an empty table; other columns stay as they are, but for one named spans, which is replaced.
+    A null text counts as empty; a text of any length is searched as a whole. Spans of one start are
+    ordered by kind. Rows are independent, so repeated rows get equal spans; an empty table gives an
+    empty table; other columns stay as they are, but for one named spans, which is replaced.
     """
     weight = fit(documents) if weight is None else weight
     return documents.withColumn("spans", pii_spans(F.coalesce("text", F.lit("")), weight))
@@ -257,10 +307,17 @@ def redact(documents: DataFrame, weight: dict[str, float] | None = None) -> Data
     found = documents.withColumn("spans_pii_", pii_spans(F.coalesce("text", F.lit("")), weight))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.col("text").substr(acc["pos"] + 1, x["start"] - acc["pos"])
-        apart = x["start"] >= acc["pos"]
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(apart, F.concat(acc["out"], gap, F.element_at(names, x["kind"] + 1))).otherwise(acc["out"]).alias("out"))
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        i, j = (a / BLOCK).cast("int"), (b / BLOCK).cast("int")
+        over = F.concat(F.get(blocks, i).substr(a % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.coalesce(F.get(blocks, j).substr(F.lit(1), b % BLOCK), F.lit("")))
+        return F.when(a >= b, F.lit("")).when(i == j, F.get(blocks, i).substr(a % BLOCK + 1, b - a)).otherwise(over)
+
+    def replaced(blocks: Column, ends: Column) -> Column:
+        one = lambda x, i: F.when(x["start"] >= F.get(ends, i), F.concat(cut(blocks, F.get(ends, i), x["start"]), F.element_at(names, x["kind"] + 1))).otherwise(F.lit(""))
+        last = F.greatest(F.get(ends, F.size(ends) - 1), F.element_at("spans_pii_", -1)["end"])
+        return F.concat(F.array_join(F.transform("spans_pii_", one), ""), cut(blocks, last, F.length("text")))
 
-    text = F.aggregate("spans_pii_", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["pos"] + 1, F.length("text"))))
+    ends = _running(F.transform("spans_pii_", lambda x: x["end"]), F.greatest, 0)
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    text = _let(blocks, lambda b: _let(ends, lambda e: replaced(b, e)))
     return found.withColumn("text", F.when(F.size("spans_pii_") > 0, text).otherwise(F.col("text"))).select(*documents.columns)

@@ -57,6 +57,24 @@ def test_pii_added_spans_and_redaction(spark):
     assert out[3] == 'the token = "[SECRET]" of [EMAIL] and no more' and out[99] is None and out[98] == "plain words only"
 
 
+def test_pii_of_texts_with_many_matches(spark):
+    text = " ".join(f"u{i}@mail.example.com (213) 555-{i:04d}" + "é" * (i % 7) for i in range(1500)) + " é🙂" * 3000
+    rows = [(1, text), (2, "a@b.c (213) 555-0000"), (3, "x" * 9000 + " me@mail.example.com " + "🙂" * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weight = {"one": 1.0}
+    found = {r.doc_id: r.spans for r in pii.find_pii(df, weight).collect()}
+    assert len(found[1]) == 3000 and all(re.fullmatch(r"u[0-9]+@mail.example.com|\([0-9]{3}\) 555-[0-9]{4}", text[s.start : s.end]) for s in found[1])
+    out = {r.doc_id: r.text for r in pii.redact(df, weight).collect()}
+    assert out[1] == re.sub(r"\([0-9]{3}\) 555-[0-9]{4}", "[PHONE_LOCAL]", re.sub(r"u[0-9]+@mail.example.com", "[EMAIL]", text))
+    assert out[2] == "[EMAIL] [PHONE_LOCAL]" and out[3] == "x" * 9000 + " [EMAIL] " + "🙂" * 9000
+
+
+def test_pii_keeps_added_spans_off_base_ones(spark):
+    rows = [(1, "tel (213) 555-0134@host.example.com"), (2, "ssn 219-09-9999 and 4111-1111-1111-1111")]
+    got = {r.doc_id: [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), {"one": 1.0}).collect()}
+    assert got == {1: [("email", 10, 35)], 2: [("ssn", 4, 15), ("card", 20, 39)]}
+
+
 def test_em_finds_the_reliable_labeler():
     counts = [(0, (1, 1, 1), 300), (0, (1, 1, 0), 200), (0, (-1, -1, 0), 200), (0, (1, -1, 0), 15), (0, (-1, -1, 1), 20)]
     post = pii.em(counts)
