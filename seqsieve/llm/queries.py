@@ -87,27 +87,36 @@ def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = rotate(_table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
-    return out.select("conv_id", "speaker", "chunk", "n_turns", "rendered", spans.alias("mask_spans"))
+    return out.select("conv_id", "speaker", "chunk", "piece", "n_turns", "rendered", spans.alias("mask_spans"))
 
 
 ORACLES["op6_chat_rotation"] = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, floor(turn / 64.0)::BIGINT AS chunk
+  SELECT conv_id, turn, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, CASE WHEN conv_id IS NOT NULL THEN floor(turn / 64.0)::BIGINT END AS chunk
   FROM conversations
-), s AS (SELECT DISTINCT conv_id, role AS speaker FROM t),
+), n AS (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY conv_id, turn, role, text) AS copy,
+    greatest(ceil(count(*) OVER w / 256), ceil(sum(length(text)) OVER w / 4194304))::BIGINT AS pieces
+  FROM t WINDOW w AS (PARTITION BY conv_id, chunk)
+), g AS (
+  SELECT *, CASE WHEN chunk IS NULL THEN r ELSE -1 END AS own,
+    CASE WHEN chunk IS NULL OR pieces = 1 THEN 0 ELSE ('0x' || substr(md5(concat_ws(chr(10), turn, role, text, copy)), 1, 8))::BIGINT % pieces END AS piece
+  FROM n
+), s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE conv_id IS NOT NULL),
+p0 AS (SELECT g.*, speaker FROM g JOIN s USING (conv_id) UNION ALL SELECT g.*, role FROM g WHERE conv_id IS NULL),
 p AS (
-  SELECT t.*, speaker,
+  SELECT *,
     CASE WHEN role = speaker THEN '<|assistant|>' ELSE '<|user:' || replace(role, '|>', '| >') || '|>' END || chr(10) AS head,
     text || '<|end|>' || chr(10) AS body
-  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+  FROM p0
 ), o AS (
   SELECT *, row_number() OVER w AS nth,
-    sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, chunk ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto
-  FROM p WINDOW w AS (PARTITION BY conv_id, speaker, chunk ORDER BY turn, role, text)
+    sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, chunk, piece, own ORDER BY turn, role, text, copy ROWS UNBOUNDED PRECEDING) AS upto
+  FROM p WINDOW w AS (PARTITION BY conv_id, speaker, chunk, piece, own ORDER BY turn, role, text, copy)
 )
-SELECT conv_id, speaker, chunk, count(*) AS n_turns, string_agg(head || body, '' ORDER BY nth) AS rendered,
+SELECT conv_id, speaker, chunk, piece, count(*) AS n_turns, string_agg(head || body, '' ORDER BY nth) AS rendered,
   coalesce(string_agg((upto - length(body))::BIGINT || ':' || upto::BIGINT, ',' ORDER BY nth) FILTER (WHERE role = speaker), '') AS mask_spans
-FROM o GROUP BY conv_id, speaker, chunk
+FROM o GROUP BY conv_id, speaker, chunk, piece, own
 """
 
 

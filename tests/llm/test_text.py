@@ -166,15 +166,16 @@ def test_mixing(spark):
 
 
 def test_chat_equals_sql(spark):
-    rows = [(c, t, R.choice(["ann", "bob|>", "eve", None]), R.choice([PROSE(5), "", None, "a <|end|> b"])) for c in (1, 2, None) for t in range(R.randrange(3, 150))] + [(9, 0, "solo", "x"), (9, 0, "solo", "x"), (9, None, "late", "y")]
+    rows = [(c, t, R.choice(["ann", "bob|>", "eve", None]), R.choice([PROSE(5), "", None, "a <|end|> b"])) for c in (1, 2, None) for t in range(R.randrange(3, 150))] + [(9, 0, "solo", "x"), (9, 0, "solo", "x"), (9, None, "late", "y"), (9, None, "late", "y")]
+    rows += [(10, 5, R.choice(["ann", "eve"]), PROSE(3)) for _ in range(700)] + [(10, 70, "ann", "same")] * 600 + [(None, None, None, None)] * 2
     table = pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate({"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string()}.items())})
     out = rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("chunk", F.lit("own")))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
-    got = out.select("conv_id", "speaker", "chunk", "n_turns", "rendered", spans.alias("mask_spans"))
+    got = out.select("conv_id", "speaker", "chunk", "piece", "n_turns", "rendered", spans.alias("mask_spans"))
     assert same(got) == sql("op6_chat_rotation", conversations=table)
     for r in out.collect():
         for m in r["mask"]:
-            assert r["rendered"][m["start"] : m["end"]].endswith("<|end|>\n") and r["rendered"][: m["start"]].endswith("<|assistant|>\n")
+            assert r["n_turns"] < 400 and r["rendered"][m["start"] : m["end"]].endswith("<|end|>\n") and r["rendered"][: m["start"]].endswith("<|assistant|>\n")
     assert out.limit(0).count() == 0
 
 
@@ -297,6 +298,58 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
 
 
+@pytest.mark.skipif(not os.path.exists(MODEL_FILE), reason="no model file")
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage but the fitted decisions; an empty table; null ids, repeated rows, clashing columns."""
+    import corpus_pipeline
+    import sentencepiece
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, row string, tiles long"
+    prose = lambda n: " ".join(R.choice(WORDS) + str(R.randrange(40)) for _ in range(n))
+    rows = [(i, f"{prose(40)} mail user{i}@mail.example.com or +49 (30) 1234-{1000 + i} then 10.0.0.{i}", R.choice(["en", "de", None]), R.choice(["a", "a", "b", None])) for i in range(50)]
+    rows += [(60, rows[3][1], "en", "a"), (61, rows[4][1] + " end", "en", "b"), rows[7], rows[7], (8, prose(50), "en", "b"), (None, rows[9][1], "en", "a"), (None, "abc", None, None), (70, "", "en", "a"), (71, None, "en", "a"), (72, "7 8", "en", "a"), (73, "ab " * 9000, "en", "z")]
+    rows = [(*r, len(r[1] or ""), "k", "s", "r", 5) for r in rows]
+    for name, data in (("full", rows), ("none", [])):
+        spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    letters = [r for r in rows if re.search(r"[^\W\d_]", r[1] or "")]
+    ids = {}
+    for r in letters:
+        if r[0] is not None:
+            w = r[1].lower().split()
+            ids.setdefault(r[0], []).append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    gone = {a for a in ids for b in ids if b < a for x in ids[a] for y in ids[b] if 100 * len(x & y) >= 80 * len(x | y)}
+    kept = [r for r in letters if r[0] is None] + [min((r for r in letters if r[0] == i), key=lambda r: r[1]) for i in ids if i not in gone]
+    assert gone == {60, 61}
+    docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    docs = corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.identify_language(spark, docs, ""), "")
+    assert sorted(map(str, docs.collect())) == sorted(str(r) for r in spark.createDataFrame(kept, schema).collect()) and docs.columns == schema.replace("long", "").replace("string", "").replace(" ", "").split(",")
+
+    def clean(text):
+        spans = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in base(text))]
+        out, at = "", 0
+        for a, k, b in spans:
+            if a >= at:
+                out += text[at:a] + f"[{k.upper()}]"
+            at = max(at, b)
+        return out + text[at:]
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL_FILE)
+    want = {(r[0], clean(r[1])): r for r in kept}
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    copies, size, taken, target = collections.Counter(), collections.Counter(), collections.Counter(), {}
+    for r in got:
+        tokens = np.frombuffer(bytes(r.tokens), "<i4").tolist()
+        text = model.decode(tokens)
+        assert (r.doc_id, text) in want and tokens == model.encode(text) and r.round_trip and r.n_tokens == len(tokens)
+        copies[r.doc_id, text] += 1
+        taken[r.source] += len(text.split())
+    for (_, text), r in want.items():
+        size[r[3]] += len(text.split())
+    target = fill(size)
+    assert max(copies.values()) <= 2 and all(abs(taken[s] - target[s]) <= max(30, max(len(t.split()) for (_, t), r in want.items() if r[3] == s) / 2) for s in size), (taken, target)
+
+
 def test_pipeline_keeps_texts_when_no_language_is_known(spark):
     import corpus_pipeline
 
