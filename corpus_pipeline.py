@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqsieve.llm import language_id, minhash_dedup, mixing, pii, sentencepieces
 from seqsieve.llm.common import materialize
@@ -14,7 +15,7 @@ PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts and texts without a letter."""
+    """Drop documents without a language: null texts and texts without a letter. Rows are independent; where no label is known, every text with a letter stays."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     if not model[0]:  # no labels to learn from
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -23,23 +24,37 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of similarity PERCENT or more; rows without an id stay."""
-    groups = minhash_dedup.near_duplicates(docs, PERCENT).where("not kept").select("doc_id").distinct()
-    return docs.join(groups.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document with the smallest id of each group of similarity PERCENT or more.
+
+    Rows that share an id are one document: of those that stay, the first by text, then by a hash of
+    all columns. Rows without an id are linked with nothing and stay, as do empty texts with an id of
+    their own.
+    """
+    groups = minhash_dedup.near_duplicates(docs, PERCENT).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    groups = materialize(groups.where("not kept or n > 1"))
+    out = docs.join(groups.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    again = groups.where("kept")
+    if again.limit(1).count():
+        hashed = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+        same = docs.join(again.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("body"), hashed.alias("hash"))
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("body", "hash"))
+        first = same.withColumn("nth", nth).where("nth = 1").select("row.*")
+        out = out.unionByName(first)
+    return out
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by the name of its kind."""
+    """Replace personal data by the name of its kind; rows are independent, null texts stay null."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the target weights ask for."""
+    """Rows as often as the target weights ask for; null sources are one source, rows equal in id and text are taken together."""
     return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of whole texts, packed as little-endian int32, with what the text decodes to agreeing."""
+    """Token ids of whole texts, packed as little-endian int32, with what the text decodes to agreeing; a null text has null tokens."""
     coded = sentencepieces.encode(docs.select("doc_id", "text", "lang", "source"), MODEL_FILE, decoded="decoded")
     return coded.select("doc_id", "lang", "source", "n_tokens", "tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
