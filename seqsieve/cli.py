@@ -112,16 +112,22 @@ def execute(spark: SparkSession, args) -> None:
     note = lambda text: print(text, file=sys.stderr)
     if args.command == "filter":
         params = FilterParams(args.abs_threshold, args.rel_threshold, args.prefix_length, args.deplete)
-        config = RunConfig(args.input, args.input2, args.output, args.output2, args.interleaved, params, args.complexity_threshold, args.rename, args.rename_random, args.output_fasta, args.compression_level, args.summary, args.debug)
+        config = RunConfig(args.input, args.input2, args.output, args.output2, args.interleaved, params, args.complexity_threshold, args.rename, args.rename_random, args.output_fasta, args.compression_level, args.summary, args.debug, args.quiet)
         out = run(spark, _load(spark, args.index), config, args.index)
         if not args.quiet:
             note(f"kept {out['seqs_out']}/{out['seqs_in']} records ({out['seqs_out_proportion']:.3%}), {out['bp_out']}/{out['bp_in']} bp")
     elif args.action == "build":
-        index = ops.build(fastx.read_fastx(spark, *map(fastx.spooled, args.input)), KmerParams(args.k, args.w))
+        records = fastx.read_fastx(spark, *map(fastx.spooled, args.input), ordinals=False)
+        index = ops.build(records, KmerParams(args.k, args.w))
         index_files.save(index, args.output)
+        stats = ops.build_stats(records).first()
+        note(f"indexed {stats['records']} records, {stats['bp']} bp: {index_files.header(spark, args.output)['count']} minimizers")
     elif args.action in ("union", "intersect"):
         inputs = [_exact(spark, p) for p in args.inputs]
         index_files.save((ops.union if args.action == "union" else ops.intersect)(*inputs), args.output)
+        for row in ops.steps(inputs, args.action).sort("step").collect():
+            did = "added" if args.action == "union" else "retained"
+            note(f"{args.inputs[row['step'] - 1]}: {did} {row['size']} minimizers, {row['total']} in all")
     elif args.action == "diff":
         before = _exact(spark, args.first).count()
         index_files.save(_difference(spark, args), args.output)

@@ -2,7 +2,7 @@
 
 Small indexes (their size is counted) travel to the tasks as one sorted array: a task finds hits
 while it selects minimizers, one row a record comes back, and nothing is shuffled. Larger, spelled
-and frozen indexes are joined on the exploded k-mers and summed by record.
+and frozen indexes are joined on the k-mers, counted by record before they travel.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..params import FilterParams, KmerParams
+from ..params import FilterParams
 from .frozen import FrozenIndex, slot
 from .index import MinimizerIndex, spelled
 from .minimizers import arrow_minimizers, chunks, classified, column_bytes, pack_at, select
@@ -77,29 +77,35 @@ def _hits_in_tasks(records: DataFrame, index: MinimizerIndex, seqs: list[str], k
     return records.mapInArrow(run, schema)
 
 
-def _hits_by_join(records: DataFrame, index: MinimizerIndex | FrozenIndex, seqs: list[str], looked: list[str], ids: list[str], names: bool) -> DataFrame:
-    parts = [arrow_minimizers(records, index.params, c, tuple(ids)).withColumn("mate", F.lit(i)) for i, c in enumerate(looked)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.withColumn("spelled", spelled(index.params))
+def _hits_by_join(records: DataFrame, index: MinimizerIndex | FrozenIndex, looked: list[str], names: bool) -> DataFrame:
+    """A decision depends on the sequences alone, so records are known by a digest of them: ids may repeat or be null.
+
+    K-mers are counted by digest before they meet the index. Every record adds one row without a
+    k-mer; those tell how many records share a digest, by which occurrences are divided.
+    """
+    length = [F.length(c).cast("string") for c in looked]
+    keyed = records.withColumn("digest_", F.sha2(F.concat_ws(":", *length, *looked), 256))
+    rows = keyed.select("digest_", F.lit(0).alias("mate"), F.lit(-1).alias("pos"), F.lit(None).cast("long" if index.params.packed else "string").alias("kmer"))
+    for i, c in enumerate(looked):
+        rows = rows.unionByName(arrow_minimizers(keyed, index.params, c, ("digest_",)).withColumn("mate", F.lit(i)))
+    rows = rows.groupBy("digest_", "kmer").agg(F.count("*").alias("n"), *([F.min(F.struct("mate", "pos")).alias("first")] if names else []))
     if isinstance(index, FrozenIndex):
-        on = ["bucket", "fp"]
-        table = index.table.withColumn("hit_", F.lit(True))
-        rows = rows.select("*", *slot(F.col("spelled"), index.key_count, index.bits))
+        # each distinct k-mer is hashed once
+        asked = rows.where("kmer is not null").select("kmer").distinct()
+        probe = asked.select("kmer", *slot(spelled(index.params), index.key_count, index.bits))
+        table = probe.join(index.table, ["bucket", "fp"], "left_semi").select("kmer")
     else:
-        on, table = ["kmer"], index.kmers.withColumn("hit_", F.lit(True))
+        table = index.kmers.select("kmer")
     hit = F.col("hit_").isNotNull()
-    counted = rows.join(table, on, "left").groupBy(*ids).agg(
-        F.count("*").alias("total_minimizers"),
-        F.count_distinct(F.when(hit, F.col("kmer"))).alias("hit_count"),
-        *([F.array_sort(F.collect_list(F.when(hit, F.struct("mate", "pos", "spelled")))).alias("found_")] if names else []),
-    )
+    sums = [
+        (F.coalesce(F.sum(F.when(F.col("kmer").isNotNull(), F.col("n"))), F.lit(0)) / F.max(F.when(F.col("kmer").isNull(), F.col("n")))).cast("long").alias("total_minimizers"),
+        F.count(F.when(hit, 1)).alias("hit_count"),
+        *([F.array_sort(F.collect_list(F.when(hit, F.struct("first", spelled(index.params).alias("kmer"))))).alias("found_")] if names else []),
+    ]
+    counted = rows.join(table.withColumn("hit_", F.lit(True)), "kmer", "left").groupBy("digest_").agg(*sums)
     if names:
-        counted = counted.withColumn("hit_kmers", F.array_distinct(F.transform("found_", lambda x: x["spelled"]))).drop("found_")
-    out = records.drop(*looked).join(counted, ids, "left")
-    fill = {"total_minimizers": F.lit(0).cast("long"), "hit_count": F.lit(0).cast("long"), **({"hit_kmers": F.array().cast("array<string>")} if names else {})}
-    return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
+        counted = counted.withColumn("hit_kmers", F.transform("found_", lambda x: x["kmer"])).drop("found_")
+    return keyed.drop(*looked).join(counted, "digest_").drop("digest_")
 
 
 def classify(
@@ -107,14 +113,14 @@ def classify(
     index: MinimizerIndex | FrozenIndex,
     params: FilterParams | None = None,
     seqs: tuple[str, ...] = ("seq",),
-    ids: tuple[str, ...] = ("record_no",),
     names: bool = False,
     broadcast_kmers: int = BROADCAST_KMERS,
 ) -> DataFrame:
     """records with total_minimizers (repeats count), hit_count (distinct, pooled over seqs), keep, and hit_kmers on request.
 
     seqs names one sequence column, or two for pairs: both mates get one decision, and a mate
-    shorter than a k-mer counts nothing. ids identify a record where the index has to be joined.
+    shorter than a k-mer counts nothing. Decisions do not depend on the size or kind of index used to
+    find hits, nor on other columns: records may repeat.
     """
     params = params or FilterParams()
     looked = [f"look_{i}_" for i in range(len(seqs))]
@@ -129,5 +135,5 @@ def classify(
     elif records.isStreaming:
         raise ValueError("this index has to be joined: classify micro-batches, as streaming.filter_stream does")
     else:
-        out = _hits_by_join(records, index, list(seqs), looked, list(ids), names)
+        out = _hits_by_join(records, index, looked, names)
     return out.withColumn("keep", keep(F.col("hit_count"), F.col("total_minimizers"), params))

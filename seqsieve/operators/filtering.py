@@ -10,13 +10,13 @@ from ..params import FilterParams, KmerParams
 from .index import number_rows
 
 
-def rename(kept: DataFrame, order: list[str], random: bool = False, pair: bool = False) -> DataFrame:
-    """Headers replaced by the 1-based number of the kept record, with /1 and /2 for mates.
+def rename(kept: DataFrame, order: list[str], random: bool = False, pair: bool = False, first: int = 0) -> DataFrame:
+    """Headers replaced by the 1-based number of the kept record (after `first` earlier ones), with /1 and /2 for mates.
 
     `random` appends a dash and 64 random bits, drawn for each mate.
     """
     out = number_rows(kept, order, "n_")
-    number = F.col("n_").cast("string")
+    number = (F.col("n_") + first).cast("string")
 
     def name(suffix: str) -> Column:
         word = F.concat(number, F.lit("-"), F.conv(F.substring(F.md5(F.concat(F.uuid(), F.lit(suffix))), 1, 16), 16, 10)) if random else number

@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,29 @@ def _exact(*indexes) -> None:
             raise FrozenIndexError("a frozen index supports membership and info only")
 
 
+def build_stats(records: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row: records and bp that an index is built from."""
+    return records.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.length(seq)), F.lit(0)).cast("long").alias("bp"))
+
+
+def steps(indexes: list[MinimizerIndex], what: str = "union") -> DataFrame:
+    """step, size, total: what each input of a union adds, or what an intersection retains after it, in one aggregation.
+
+    A k-mer is known by the first input that holds it, and by the first one from 1 on that doesn't.
+    """
+    _same(indexes, 1, what)
+    n = len(indexes)
+    tagged = reduce(DataFrame.unionByName, [i.kmers.select("kmer", F.lit(nth).alias("nth")) for nth, i in enumerate(indexes, 1)])
+    held = tagged.groupBy("kmer").agg(F.min("nth").alias("first"), F.array_sort(F.collect_set("nth")).alias("all"))
+    last = F.aggregate("all", F.lit(0), lambda acc, x: F.when(x == acc + 1, x).otherwise(acc))  # holds without a gap up to here
+    per = held.groupBy((F.col("first") if what == "union" else last).cast("int").alias("step")).agg(F.count("*").alias("n"))
+    all_ = indexes[0].kmers.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("step"))
+    counted = F.broadcast(per).withColumnRenamed("step", "at")
+    joined = all_.join(counted, F.col("at") <= F.col("step") if what == "union" else F.col("at") >= F.col("step"), "left")
+    own = F.coalesce(F.sum(F.when(F.col("at") == F.col("step"), F.col("n"))), F.lit(0)) if what == "union" else F.coalesce(F.sum("n"), F.lit(0))
+    return joined.groupBy("step").agg(own.alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
 def build(records: DataFrame, params: KmerParams | None = None, seq: str = "seq") -> MinimizerIndex:
     """Distinct minimizers of all records: partial, then final aggregation around one shuffle."""
     params = params or KmerParams()
@@ -94,11 +120,44 @@ def subtract_records(first: MinimizerIndex, records: DataFrame, k: int | None =
     return subtract(first, other)
 
 
+def _kdust(batch: pa.RecordBatch, params: KmerParams) -> np.ndarray:
+    """kdust of every k-mer of a batch, as functions.kdust; equal triplets are neighbours after sorting."""
+    k, column = params.k, batch.column("kmer")
+    if params.packed:
+        shift = np.arange(2 * (k - 3), -1, -2, dtype=np.int64)
+        triplets = ((column.to_numpy()[:, None] >> shift) & 63).astype(np.uint8)
+    else:
+        text = np.frombuffer("".join(column.to_pylist()).encode(), np.uint8).reshape(-1, k)
+        code = np.searchsorted(np.frombuffer(b"ACGT", np.uint8), text).astype(np.uint8)
+        triplets = code[:, :-2] * 16 + code[:, 1:-1] * 4 + code[:, 2:]
+    triplets.sort(axis=1)
+    run, pairs = np.zeros(len(triplets), np.int32), np.zeros(len(triplets), np.int64)
+    for i in range(1, triplets.shape[1]):  # a run of length c adds 0 + 1 + .. + c-1
+        run = np.where(triplets[:, i] == triplets[:, i - 1], run + 1, 0)
+        pairs += run
+    return (1 - pairs / ((k - 2) * (k - 3) / 2)).astype(np.float32)
+
+
+def scored(index: MinimizerIndex, algorithm: str = "kdust") -> DataFrame:
+    """kmer, value: every k-mer with its complexity (float)."""
+    _exact(index)
+    params = index.params
+    if algorithm != "kdust" or params.k <= 3:
+        # the k-mer is spelled once, in a projection of its own
+        rows = index.kmers.select("kmer", F.array(spelled(params)).alias("bases"))
+        return rows.select("kmer", F.transform("bases", lambda x: complexity(x, params.k, algorithm))[0].alias("value"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("kmer"), pa.array(_kdust(batch, params), pa.float32())], names=["kmer", "value"])
+
+    return index.kmers.select("kmer").mapInArrow(run, f"kmer {'long' if params.packed else 'string'}, value float")
+
+
 def retain_complexity(index: MinimizerIndex, threshold: float, algorithm: str = "kdust", invert: bool = False) -> MinimizerIndex:
     """K-mers of complexity at or above the threshold, or below it; compared as float, so both parts add up to the whole."""
-    _exact(index)
-    value, limit = complexity(spelled(index.params), index.params.k, algorithm), F.lit(threshold).cast("float")
-    return MinimizerIndex(index.kmers.where(value < limit if invert else value >= limit), index.params, index.version)
+    value, limit = F.col("value"), F.lit(threshold).cast("float")
+    return MinimizerIndex(scored(index, algorithm).where(value < limit if invert else value >= limit).select("kmer"), index.params, index.version)
 
 
 def dump(index: MinimizerIndex) -> DataFrame:
@@ -118,9 +177,12 @@ def number_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """
     from pyspark.sql.window import Window
 
+    # sampling for the ranges would evaluate rows once more
+    rows = rows.persist(StorageLevel.DISK_ONLY)
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = ranged.persist(StorageLevel.DISK_ONLY)
     sizes = {r["part_"]: r["count"] for r in ranged.groupBy("part_").count().collect()}
+    rows.unpersist()
     first, offsets = 0, []
     for part in sorted(sizes):
         offsets.append((part, first))

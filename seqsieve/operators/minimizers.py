@@ -40,12 +40,12 @@ _UPPER[97:123] -= 32
 _COMPLEMENT = np.arange(256, dtype=np.uint8)
 for _b, _c in PAIR.items():
     _COMPLEMENT[ord(_b)] = ord(_c)
-#: Bases handled at once, unless one record has more.
-CHUNK = 1 << 20
+#: Bases of records handled at once, and windows of them whose hashes are held at once, whatever a record's length.
+CHUNK, PIECE = 1 << 20, 1 << 16
 
 
 def _rotl(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    n = (n & 31).astype(np.uint32)
+    n = (n & np.uint8(31)).astype(np.uint32)
     return (x << n) | (x >> ((np.uint32(32) - n) & np.uint32(31)))
 
 
@@ -60,34 +60,46 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[:n], head[w - 1 : w - 1 + n])
 
 
-def select(data: np.ndarray, offsets: np.ndarray, params: KmerParams) -> tuple[np.ndarray, np.ndarray]:
-    """Record number and position in `data` of all minimizers of concatenated records, in order."""
+def _windows(data: np.ndarray, params: KmerParams) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts without an ambiguous base, and the position each chooses."""
     k, w, span, n = params.k, params.w, params.span, len(data)
-    none = np.zeros(0, np.int64)
-    if n < span:
-        return none, none
     at = np.arange(n, dtype=np.int64)
-    forward = np.bitwise_xor.accumulate(_rotl(_FWD[data], -at))
-    back = np.bitwise_xor.accumulate(_rotl(_REV[data], at))
+    turn = at.astype(np.uint8)  # rotations count modulo 32
+    forward = np.bitwise_xor.accumulate(_rotl(_FWD[data], -turn))
+    back = np.bitwise_xor.accumulate(_rotl(_REV[data], turn))
     kmers = n - k + 1
     before_f = np.concatenate([np.zeros(1, np.uint32), forward[: kmers - 1]])
     before_b = np.concatenate([np.zeros(1, np.uint32), back[: kmers - 1]])
-    p = at[:kmers]
-    hashes = _rotl(forward[k - 1 :] ^ before_f, p + k - 1) + _rotl(back[k - 1 :] ^ before_b, -p)
-    high = hashes.astype(np.uint64) << np.uint64(32)
+    p = turn[:kmers]
+    hashes = _rotl(forward[k - 1 :] ^ before_f, p + np.uint8(k - 1)) + _rotl(back[k - 1 :] ^ before_b, -p)
+    high, low = hashes.astype(np.uint64) << np.uint64(32), at[:kmers].astype(np.uint64)
     low32 = np.uint64(M32)
-    left = (_sliding_min(high | p.astype(np.uint64), w) & low32).astype(np.int64)
-    right = (low32 - (_sliding_min(high | (low32 - p.astype(np.uint64)), w) & low32)).astype(np.int64)
+    windows = n - span + 1
+    left = (_sliding_min(high | low, w)[:windows] & low32).astype(np.int64)
+    right = (low32 - (_sliding_min(high | (low32 - low), w)[:windows] & low32)).astype(np.int64)
     sums = lambda x: np.concatenate([np.zeros(1, np.int32), np.cumsum(x[data], dtype=np.int32)])
     gt, amb = sums(_GT), sums(_AMBIGUOUS)
-    windows = n - span + 1
+    good = np.flatnonzero(amb[span:] == amb[:-span])
     strand = 2 * (gt[span:] - gt[:-span]) > span
-    clean = amb[span:] == amb[:-span]
-    record = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:windows]
-    good = np.flatnonzero(clean & (at[:windows] + span <= offsets[1:][record]))
-    chosen = np.where(strand, left[:windows], right[:windows])[good]
-    record = record[good]
-    new = np.ones(len(good), bool)
+    return good, np.where(strand, left, right)[good]
+
+
+def select(data: np.ndarray, offsets: np.ndarray, params: KmerParams) -> tuple[np.ndarray, np.ndarray]:
+    """Record number and position in `data` of all minimizers of concatenated records, in order."""
+    span, n = params.span, len(data)
+    records, places = [], []
+    for low in range(0, n - span + 1, PIECE):  # pieces overlap by a window less one base, so none is lost or seen twice
+        start, chosen = _windows(data[low : low + PIECE + span - 1], params)
+        start += low
+        record = np.searchsorted(offsets, start, "right") - 1
+        whole = start + span <= offsets[record + 1]
+        records.append(record[whole])
+        places.append(chosen[whole] + low)
+    if not records:
+        none = np.zeros(0, np.int64)
+        return none, none
+    record, chosen = np.concatenate(records), np.concatenate(places)
+    new = np.ones(len(record), bool)
     # a window apart (another record, or behind ambiguous bases) with the same choice cannot occur across records
     new[1:] = (chosen[1:] != chosen[:-1]) | (record[1:] != record[:-1])
     return record[new], chosen[new]

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from . import oracle as sql
 from .functions import dna, format_count, format_record, reverse_complement
-from .functions.sequence import complexity
 from .operators import index as ops
 from .operators.classify import classify
 from .operators.filtering import counters, rename
@@ -179,8 +178,10 @@ def index_diff_w1(spark, d):
 
 def _complex(algorithm: str, limit: float, invert: bool):
     def f(spark, d):
-        i = ops.retain_complexity(index(spark, d, "pages", "html"), limit, algorithm, invert)
-        return kmers(i).withColumn("value", F.round(complexity(F.col("kmer"), 31, algorithm).cast("double"), 4))
+        i = index(spark, d, "pages", "html")
+        bound = F.lit(limit).cast("float")
+        kept = ops.scored(i, algorithm).where(F.col("value") < bound if invert else F.col("value") >= bound)
+        return kept.select(i.spelled().alias("kmer"), F.round(F.col("value").cast("double"), 4).alias("value"))
 
     f.__name__ = f"index_filter_{algorithm}{'_invert' if invert else ''}"
     value = getattr(sql, algorithm)(31, "b")
@@ -240,7 +241,7 @@ _paired = FilterParams(2, 0.05)
 
 @query(f"WITH {pair_decisions(_paired, 11, 5)} SELECT id AS pair_no, total_minimizers, hit_count, keep FROM dec")
 def classify_paired(spark, d):
-    return classify(pairs(spark, d), index(spark, d, params=SHORT), _paired, ("seq1", "seq2"), ("pair_no",)).select("pair_no", "total_minimizers", "hit_count", "keep")
+    return classify(pairs(spark, d), index(spark, d, params=SHORT), _paired, ("seq1", "seq2")).select("pair_no", "total_minimizers", "hit_count", "keep")
 
 
 @query(f"WITH {pair_decisions(_paired, 11, 5)} SELECT id AS pair_no, total_minimizers, hit_count, keep FROM dec")
@@ -248,7 +249,7 @@ def classify_interleaved(spark, d):
     both = pairs(spark, d)
     mates = F.explode(F.array(*(F.struct((F.col("pair_no") * 2 + n).alias("record_no"), F.col(f"header{n + 1}").alias("header"), F.col(f"seq{n + 1}").alias("seq"), F.lit(None).cast("string").alias("qual")) for n in (0, 1)))).alias("m")
     again = interleaved(both.select(mates).select("m.*"))
-    return classify(again, index(spark, d, params=SHORT), _paired, ("seq1", "seq2"), ("pair_no",)).select("pair_no", "total_minimizers", "hit_count", "keep")
+    return classify(again, index(spark, d, params=SHORT), _paired, ("seq1", "seq2")).select("pair_no", "total_minimizers", "hit_count", "keep")
 
 
 def _decided(spark, d, p: FilterParams, **options) -> DataFrame:
@@ -288,7 +289,7 @@ def filter_rename_random(spark, d):
 
 @query(f"WITH {pair_decisions(_paired, 11, 5)} SELECT id AS pair_no, row_number() OVER (ORDER BY id) || ' /1' AS header1, row_number() OVER (ORDER BY id) || ' /2' AS header2 FROM dec WHERE keep")
 def filter_rename_paired(spark, d):
-    out = classify(pairs(spark, d), index(spark, d, params=SHORT), _paired, ("seq1", "seq2"), ("pair_no",))
+    out = classify(pairs(spark, d), index(spark, d, params=SHORT), _paired, ("seq1", "seq2"))
     return rename(out.where("keep").select("pair_no", "header1", "header2"), ["pair_no"], pair=True)
 
 
@@ -306,7 +307,7 @@ def filter_summary(spark, d):
 
 @query(f"WITH {pair_decisions(_paired, 11, 5)} {_counter_sql(2, 'length(seq1) + length(seq2)')}")
 def filter_summary_paired(spark, d):
-    return counters(classify(pairs(spark, d), index(spark, d, params=SHORT), _paired, ("seq1", "seq2"), ("pair_no",)), ("seq1", "seq2"))
+    return counters(classify(pairs(spark, d), index(spark, d, params=SHORT), _paired, ("seq1", "seq2")), ("seq1", "seq2"))
 
 
 _text = "'@doc' || id || chr(10) || full_seq || chr(10) || '+' || chr(10) || repeat('~', length(full_seq))"

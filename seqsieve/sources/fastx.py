@@ -33,6 +33,8 @@ READ, BATCH = 1 << 20, 8 << 20
 SPLIT = 128 << 20
 #: Shorter files are taken for empty.
 EMPTY_BYTES = 5
+#: Standard input and pipes are copied to files of this ending, to which that rule does not apply.
+SPOOLED = ".spooled.fastx"
 
 
 def open_bytes(path: str, raw: bool = False):
@@ -88,6 +90,7 @@ class FastxReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p for given in options["path"].split(",") for p in (sorted(glob.glob(given)) or [given])]
         self.ordinals = str(options.get("ordinals", "true")).lower() != "false"
+        self.split = int(options.get("split", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
@@ -95,10 +98,10 @@ class FastxReader(DataSourceReader):
             size = os.path.getsize(path)
             with open(path, "rb") as f:
                 plain = f.read(1) in (b">", b"@")
-            if self.ordinals or not plain or size <= SPLIT:
+            if self.ordinals or not plain or size <= self.split:
                 out.append(_Part(path, 0, None))
             else:
-                out += [_Part(path, at, min(size, at + SPLIT)) for at in range(0, size, SPLIT)]
+                out += [_Part(path, at, min(size, at + self.split)) for at in range(0, size, self.split)]
         return out
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
@@ -167,7 +170,7 @@ def spooled(path: str | None) -> str:
         data = open(path, "rb")
     else:
         return path
-    with tempfile.NamedTemporaryFile("wb", suffix=".fastx", delete=False) as out:
+    with tempfile.NamedTemporaryFile("wb", suffix=SPOOLED, delete=False) as out:
         while piece := data.read(READ):
             out.write(piece)
     return out.name
@@ -175,7 +178,7 @@ def spooled(path: str | None) -> str:
 
 def is_empty(path: str) -> bool:
     """Files under five bytes count as empty; so do compressed files with nothing in them."""
-    if os.path.getsize(path) < EMPTY_BYTES:
+    if os.path.getsize(path) < (1 if path.endswith(SPOOLED) else EMPTY_BYTES):
         return True
     with open_bytes(path) as f:
         try:
@@ -190,14 +193,14 @@ def check_paths(*paths: str | None) -> None:
             raise FileNotFoundError(f"no such input: {path}")
 
 
-def read_fastx(spark: SparkSession, *paths: str, ordinals: bool = True) -> DataFrame:
-    """(source, record_no, header, seq, qual) of files; qual is null for FASTA."""
+def read_fastx(spark: SparkSession, *paths: str, ordinals: bool = True, split: int = SPLIT) -> DataFrame:
+    """(source, record_no, header, seq, qual) of files; qual is null for FASTA. Without ordinals, plain files are read in ranges of `split` bytes."""
     check_paths(*paths)
     full = [p for given in paths for p in glob.glob(given) if not is_empty(p)]
     if not full:
         return spark.createDataFrame([], SCHEMA)
     spark.dataSource.register(FastxSource)
-    return spark.read.format("fastx").option("ordinals", str(ordinals).lower()).load(",".join(full))
+    return spark.read.format("fastx").option("ordinals", str(ordinals).lower()).option("split", split).load(",".join(full))
 
 
 PAIRED = ("header", "seq", "qual")
@@ -253,21 +256,25 @@ def write_file(texts: DataFrame, path: str, level: int | None = None) -> None:
         out.flush() if path == "-" else out.close()
 
 
-def write_parts(texts: DataFrame, folder: str, codec: str | None = None) -> None:
-    """Texts to a folder with one file a partition: gzip by Spark's writer, zstd and xz by the tasks."""
-    if codec in (None, "gzip"):
+def write_parts(texts: DataFrame, folder: str, codec: str | None = None, level: int | None = None) -> None:
+    """Texts to a folder with one file a partition: plain and gzip by Spark's writer, zstd, xz and gzip of a given level by the tasks."""
+    if codec is None or (codec == "gzip" and level is None):
         texts.write.mode("overwrite").option("compression", codec or "none").text(folder)
         return
-    suffix = {"zstd": ".zst", "xz": ".xz"}[codec]
+    suffix = {"gzip": ".gz", "zstd": ".zst", "xz": ".xz"}[codec]
     os.makedirs(folder, exist_ok=True)
 
     def write(batches):
         from pyspark import TaskContext
 
-        with open_writer(f"{folder}/part-{TaskContext.get().partitionId():05d}{suffix}") as out:
+        # a task that runs twice leaves one file, under its name only when whole
+        path = f"{folder}/part-{TaskContext.get().partitionId():05d}"
+        made = f"{path}.{TaskContext.get().taskAttemptId()}{suffix}"
+        with open_writer(made, level) as out:
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     out.write(text.encode() + b"\n")
+        os.replace(made, path + suffix)
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], names=["done"])
 
     texts.mapInArrow(write, "done int").count()

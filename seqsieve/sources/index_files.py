@@ -129,13 +129,13 @@ def import_idx(spark: SparkSession, path: str, rows_at_once: int = 1 << 20) -> M
     return MinimizerIndex(kmers, params, head["version"])
 
 
-def fetch(name: str, k: int = 31, w: int = 15, folder: str = ".", base: str | None = None) -> str:
-    """Download a prebuilt index {base}/{version}/{name}.k{k}w{w}.idx; it appears under its name only when whole."""
+def fetch(name: str, k: int = 31, w: int = 15, folder: str = ".", base: str | None = None, output: str | None = None) -> str:
+    """Download a prebuilt index {base}/{version}/{name}.k{k}w{w}.idx to output, or into folder; it appears under its name only when whole."""
     base = base or os.environ.get("SEQSIEVE_INDEX_URL")
     if not base:
         raise ValueError("no index server: give base or set SEQSIEVE_INDEX_URL")
     file = f"{name}.k{k}w{w}.idx"
-    path = os.path.join(folder, file)
+    path = output or os.path.join(folder, file)
     urllib.request.urlretrieve(f"{base.rstrip('/')}/{FORMAT_VERSION}/{file}", path + ".tmp")
     os.replace(path + ".tmp", path)
     return path

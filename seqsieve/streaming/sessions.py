@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.classify import classify
-from ..operators.filtering import counters
+from ..operators.filtering import counters, rename
 from ..operators.frozen import FrozenIndex
 from ..operators.index import MinimizerIndex
 from ..params import FilterParams
@@ -32,13 +32,29 @@ def filter_stream(
     checkpoint: str,
     params: FilterParams | None = None,
     seqs: tuple[str, ...] = ("seq",),
-    ids: tuple[str, ...] = ("record_no",),
+    rename_by: tuple[str, ...] | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start a query that gives each micro-batch's kept records to `write(batch, batch_id)`; an index of any size or kind."""
+    """Start a query that gives each micro-batch's kept records to `write(batch, batch_id)`; an index of any size or kind.
+
+    rename_by: order of the records of a batch, which are then renamed by number. Numbers go on from
+    batch to batch; what each batch ended with is kept beside the checkpoint, so a batch that runs
+    again gets the same numbers.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write(classify(batch, index, params, seqs, ids).where("keep"), batch_id)
+        kept = classify(batch, index, params, seqs).where("keep")
+        if rename_by:
+            state = batch.sparkSession.read.schema("batch_id long, upto long")
+            ends = f"{checkpoint}/renamed"
+            before = 0
+            if batch_id:
+                before = state.parquet(f"{ends}/{batch_id - 1}").first()["upto"]
+            kept = rename(kept, list(rename_by), pair=len(seqs) == 2, first=before)
+            kept = kept.persist()
+            upto = before + kept.count()
+            batch.sparkSession.createDataFrame([(batch_id, upto)], "batch_id long, upto long").coalesce(1).write.mode("overwrite").parquet(f"{ends}/{batch_id}")
+        write(kept, batch_id)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -139,7 +155,7 @@ class PairedFilterSession:
         for queue in self.waiting:
             del queue[:n]
         df = self.spark.createDataFrame(rows, "pair_no long, header1 string, seq1 string, qual1 string, header2 string, seq2 string, qual2 string")
-        decided = classify(df, self.index, self.params, ("seq1", "seq2"), ("pair_no",)).persist()
+        decided = classify(df, self.index, self.params, ("seq1", "seq2")).persist()
         for name, value in counters(decided, ("seq1", "seq2")).first().asDict().items():
             if name in self.stats:
                 self.stats[name] += value

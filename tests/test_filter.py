@@ -74,7 +74,7 @@ def test_pairs_pool_hits_and_skip_short_mates(spark):
     a = "A" * 10 + "CGT" + "ACGT" * 15 + "A" * 10
     b = rc(a)
     df = spark.createDataFrame([(0, a, b), (1, a, "AC"), (2, "AC", "AC")], "pair_no long, seq1 string, seq2 string")
-    rows = {r.pair_no: r for r in classify(df, index, FilterParams(2, 0.01, deplete=True), ("seq1", "seq2"), ("pair_no",)).collect()}
+    rows = {r.pair_no: r for r in classify(df, index, FilterParams(2, 0.01, deplete=True), ("seq1", "seq2")).collect()}
     assert rows[0].hit_count == rows[1].hit_count == 1 and rows[0].keep
     assert rows[0].total_minimizers == 2 * rows[1].total_minimizers and rows[2].total_minimizers == 0 and rows[2].keep
 
@@ -283,7 +283,7 @@ def test_command_line(spark, tmp_path, capsys):
     main(["filter", f"{t}/t", f"{t}/o.fa", "-d", "-o", f"{t}/kept.fa", "-q"])
     assert open(f"{t}/kept.fa").read() == f">o\n{OTHER}\n"
     index = Index(f"{t}/t", spark=spark)
-    assert index.info["kind"] == "exact-u64" and index.filter(f"{t}/t.fa", output=f"{t}/x.fa")["seqs_out"] == 1
+    assert index.info()["format"] == "exact-u64" and index.filter(f"{t}/t.fa", output=f"{t}/x.fa")["seqs_out"] == 1
     with pytest.raises(SystemExit):
         main(["filter", f"{t}/t", "-a", "0"])
 
@@ -292,3 +292,12 @@ def test_command_line(spark, tmp_path, capsys):
 def test_short_target_on_either_strand(spark, query, kept):
     got = classify(frame(spark, [query]), built(spark, [VIRUS]), FilterParams(deplete=True)).first()
     assert got.hit_count == got.total_minimizers == 3 and not got.keep
+
+
+def test_join_and_broadcast_agree_on_null_and_repeated_ids(spark):
+    long_ = (VIRUS * 3)[:150]
+    rows = [(1, VIRUS), (1, long_), (None, VIRUS), (None, "ACGT"), (2, VIRUS), (2, VIRUS), (3, None), (4, VIRUS.lower())]
+    df = spark.createDataFrame(rows, "record_no long, seq string").repartition(3)
+    index = built(spark, [VIRUS])
+    small, joined = (sorted(map(str, classify(df, index, FilterParams(), names=True, **o).collect())) for o in ({}, {"broadcast_kmers": 0}))
+    assert small == joined and len(small) == len(rows)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,32 @@ def test_complexity(spark):
     entropy = [r[0] for r in df.select(shannon(F.col("s"), 31)).collect()]
     assert entropy[0] == 0 and entropy[1] > 0.95 and entropy[2] == 1
     assert df.select(shannon(F.col("s"), 9)).first()[0] == 1 and df.select(kdust(F.col("s"), 2)).first()[0] == 1
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1000])
+def test_selection_does_not_depend_on_pieces(monkeypatch, piece):
+    from seqsieve.operators import minimizers as M
+
+    r = np.random.default_rng(2)
+    data = np.frombuffer(b"ACGTN", np.uint8)[r.choice(5, 3000, p=[0.249, 0.25, 0.25, 0.25, 0.001])]
+    offsets = np.array([0, 0, 5, 900, 900, 2500, 2990, 3000])
+    for params in (KmerParams(11, 5), KmerParams(31, 15), KmerParams(15, 1)):
+        whole = M.select(data, offsets, params)
+        monkeypatch.setattr(M, "PIECE", piece)
+        parts = M.select(data, offsets, params)
+        monkeypatch.undo()
+        assert all(np.array_equal(a, b) for a, b in zip(whole, parts)) and len(whole[0]) > 50
+
+
+def test_kdust_kernel_equals_its_column(spark):
+    from seqsieve.functions.sequence import kdust
+    from seqsieve.operators import index as ops
+
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list("ACGT"), 41, p=p)) for p in ([0.25] * 4, [0.9, 0.1, 0, 0], [1, 0, 0, 0]) for _ in range(40)]
+    for k in (4, 31, 41):
+        df = spark.createDataFrame([(w[:k],) for w in words], "kmer string").distinct()
+        params = KmerParams(k, 15 if k % 2 else 14)
+        packed = df.select(pack(F.col("kmer")).alias("kmer")) if params.packed else df
+        got = {x.kmer: x.value for x in ops.scored(ops.MinimizerIndex(packed, params)).select(ops.spelled(params).alias("kmer"), "value").collect()}
+        assert got == {x.kmer: x.value for x in df.select("kmer", kdust(F.col("kmer"), k).alias("value")).collect()}
