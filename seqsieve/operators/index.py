@@ -120,16 +120,19 @@ def subtract_records(first: MinimizerIndex, records: DataFrame, k: int | None =
     return subtract(first, other)
 
 
-def _kdust(batch: pa.RecordBatch, params: KmerParams) -> np.ndarray:
-    """kdust of every k-mer of a batch, as functions.kdust; equal triplets are neighbours after sorting."""
+def _codes(batch: pa.RecordBatch, params: KmerParams) -> np.ndarray:
+    """Bases of every k-mer of a batch as 0..3."""
     k, column = params.k, batch.column("kmer")
     if params.packed:
-        shift = np.arange(2 * (k - 3), -1, -2, dtype=np.int64)
-        triplets = ((column.to_numpy()[:, None] >> shift) & 63).astype(np.uint8)
-    else:
-        text = np.frombuffer("".join(column.to_pylist()).encode(), np.uint8).reshape(-1, k)
-        code = np.searchsorted(np.frombuffer(b"ACGT", np.uint8), text).astype(np.uint8)
-        triplets = code[:, :-2] * 16 + code[:, 1:-1] * 4 + code[:, 2:]
+        return ((column.to_numpy()[:, None] >> np.arange(2 * (k - 1), -1, -2, dtype=np.int64)) & 3).astype(np.uint8)
+    text = np.frombuffer("".join(column.to_pylist()).encode(), np.uint8).reshape(-1, k)
+    return np.searchsorted(np.frombuffer(b"ACGT", np.uint8), text).astype(np.uint8)
+
+
+def _kdust(code: np.ndarray) -> np.ndarray:
+    """As functions.kdust; equal triplets are neighbours after sorting."""
+    k = code.shape[1]
+    triplets = code[:, :-2] * 16 + code[:, 1:-1] * 4 + code[:, 2:]
     triplets.sort(axis=1)
     run, pairs = np.zeros(len(triplets), np.int32), np.zeros(len(triplets), np.int64)
     for i in range(1, triplets.shape[1]):  # a run of length c adds 0 + 1 + .. + c-1
@@ -138,18 +141,24 @@ def _kdust(batch: pa.RecordBatch, params: KmerParams) -> np.ndarray:
     return (1 - pairs / ((k - 2) * (k - 3) / 2)).astype(np.float32)
 
 
+def _shannon(code: np.ndarray) -> np.ndarray:
+    """As functions.shannon, of bases that are all A, C, G or T."""
+    share = np.stack([(code == b).sum(1) for b in range(4)]) / code.shape[1]
+    bits = (share * np.log2(np.where(share > 0, share, 1.0))).sum(0)
+    return (np.abs(bits) / 2).astype(np.float32)
+
+
 def scored(index: MinimizerIndex, algorithm: str = "kdust") -> DataFrame:
     """kmer, value: every k-mer with its complexity (float)."""
     _exact(index)
     params = index.params
-    if algorithm != "kdust" or params.k <= 3:
-        # the k-mer is spelled once, in a projection of its own
-        rows = index.kmers.select("kmer", F.array(spelled(params)).alias("bases"))
-        return rows.select("kmer", F.transform("bases", lambda x: complexity(x, params.k, algorithm))[0].alias("value"))
+    if algorithm not in ("kdust", "shannon") or params.k <= 3 or (algorithm == "shannon" and params.k < 10):
+        return index.kmers.select("kmer", complexity(F.lit(""), params.k, algorithm).alias("value"))  # a constant, or an error
+    kernel = _kdust if algorithm == "kdust" else _shannon
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("kmer"), pa.array(_kdust(batch, params), pa.float32())], names=["kmer", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("kmer"), pa.array(kernel(_codes(batch, params)), pa.float32())], names=["kmer", "value"])
 
     return index.kmers.select("kmer").mapInArrow(run, f"kmer {'long' if params.packed else 'string'}, value float")
 

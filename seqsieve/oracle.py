@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .functions.sequence import BASES, LETTERS
-from .operators.minimizers import CODE, PAIR
 from .params import FilterParams
 
+# fixed values of the published scheme, stated here again so that a wrong one shows
+CODE = {"A": 0x95C60474, "C": 0x62A02B4C, "T": 0x82572324, "G": 0x4BE24456}
+PAIR = dict(zip("ACGT", "TGCA"))
 M32 = 0xFFFFFFFF
 
 

@@ -6,6 +6,7 @@ conversations are mates of pairs. Texts become DNA by a fixed letter map.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -42,6 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where all tasks run in this process."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def reads(spark: SparkSession, sf_dir: str, ambiguous: bool = False) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_no"), F.concat(F.lit("doc"), F.col("doc_id")).alias("header"), dna(F.col("text"), ambiguous).alias("seq"))
 
@@ -355,12 +367,14 @@ def filter_frozen(spark, d):
     return classify(reads(spark, d), freeze(index(spark, d))).select("record_no", "total_minimizers", "hit_count", "keep")
 
 
-@query(f"WITH {PAGES} SELECT kmer, TRUE AS found FROM b WHERE kmer IN (SELECT kmer FROM b)")
+@query(f"""WITH {BENCH}, {PAGES}, z AS (SELECT DISTINCT {_slot('(SELECT count(*) FROM b)', 16)} FROM b), p AS (SELECT kmer FROM a UNION SELECT kmer FROM b)
+SELECT kmer, (bucket, fp) IN (SELECT (bucket, fp) FROM z) AS found FROM (SELECT kmer, {_slot('(SELECT count(*) FROM b)', 16)} FROM p)""")
 def frozen_membership(spark, d):
+    """K-mers of two tables against a frozen index of one: all of its own are found, others by chance."""
     i = index(spark, d, "pages", "html")
-    z = freeze(i)
-    probe = kmers(i).select("kmer", *slot(F.col("kmer"), z.key_count, z.bits))
-    return probe.join(z.table, ["bucket", "fp"], "left_semi").select("kmer", F.lit(True).alias("found"))
+    z = freeze(i, 16)
+    probe = kmers(ops.union(index(spark, d), i)).select("kmer", *slot(F.col("kmer"), z.key_count, z.bits))
+    return probe.join(z.table.withColumn("found", F.lit(True)), ["bucket", "fp"], "left").select("kmer", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 # streams
@@ -368,12 +382,7 @@ def frozen_membership(spark, d):
 
 @query(f"WITH {sql.decisions(_deplete)} SELECT id AS record_no, total_minimizers, hit_count FROM dec WHERE keep")
 def filter_stream_deplete(spark, d):
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    out = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    out = f"{scratch(spark)}/{uuid.uuid4().hex}"
     schema = table(spark, d, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*")
     stream = stream.select(F.col("doc_id").alias("record_no"), dna(F.col("text")).alias("seq"))
