@@ -34,10 +34,16 @@ _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2, (256, 4)), -PATCH, PATCH)
 _BITS = np.stack([_rng.permutation(256)[:KEY_BITS] for _ in range(TABLES)])
 
-FOUND = pa.schema([("image_id", pa.int64()), ("corner", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), *[(f"d{i}", pa.int64()) for i in range(2)], ("keys", pa.list_(pa.int64()))])
-MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("corner", pa.int32()), ("turn", pa.float64()), ("size", pa.int32()), ("dx", pa.float64()), ("dy", pa.float64())])
-MET_SQL = "a long, b long, corner int, turn double, size int, dx double, dy double"
-FOUND_SQL = "image_id long, corner int, x float, y float, angle float, scale float, d0 long, d1 long, keys array<bigint>"
+#: A corner's place is one long: x and y in eighths of a pixel, the angle in 2**14 parts of a turn, the scale's number and,
+#: from bit 60 on, the side of a pair of tiles. Rows are shuffled once for each table, so they are kept narrow.
+UNIT, PLACE_BITS, ANGLE_BITS = 8, 22, 14
+FOUND = pa.schema([("image_id", pa.int64()), ("corner", pa.int32()), ("place", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("keys", pa.list_(pa.int64()))])
+FOUND_SQL = "image_id long, corner int, place long, d0 long, d1 long, keys array<bigint>"
+#: Votes in half bins: both grids follow from them.
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("corner", pa.int32()), *[(c, pa.int32()) for c in ("turn", "size", "dx", "dy")]])
+MET_SQL = "a long, b long, corner int, turn int, size int, dx int, dy int"
+#: So many hot buckets go to the tasks whole; more are joined by a shuffle.
+HOT_BUCKETS = 100_000
 
 
 def read_pnm(data: bytes | None) -> np.ndarray | None:
@@ -129,6 +135,22 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _placed(x: np.ndarray, y: np.ndarray, angle: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """x, y, angle and scale as one long; places beyond 2**22 eighths of a pixel count as there."""
+    top, turns = (1 << PLACE_BITS) - 1, 1 << ANGLE_BITS
+    px, py = (np.minimum(np.rint(z * UNIT), top).astype(np.int64) for z in (x, y))
+    turn = np.rint(angle / (2 * math.pi) * turns).astype(np.int64) % turns
+    number = np.abs(np.asarray(SCALES)[None, :] - scale[:, None]).argmin(1)
+    return px | py << PLACE_BITS | turn << 2 * PLACE_BITS | number << 2 * PLACE_BITS + ANGLE_BITS
+
+
+def _place(place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """side, x, y, angle and scale of packed places."""
+    low, at = (1 << PLACE_BITS) - 1, 2 * PLACE_BITS
+    angle = (place >> at & (1 << ANGLE_BITS) - 1) * (2 * math.pi / (1 << ANGLE_BITS))
+    return place >> 60, (place & low) / UNIT, (place >> PLACE_BITS & low) / UNIT, angle, np.asarray(SCALES)[place >> at + ANGLE_BITS & 3]
+
+
 def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
     parts = []
     for image_id, data in zip(batch.column("image_id").to_pylist(), batch.column("image").to_pylist()):
@@ -142,12 +164,13 @@ def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
     words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
     keys = np.stack([bits[:, own].astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64)) for own in _BITS], 1)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * TABLES, pa.int32()), pa.array(keys.ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(image_id, pa.int64()), pa.array(corner, pa.int32()), *(pa.array(z, pa.float32()) for z in (x, y, angle, scale)), *(pa.array(words[:, i].copy()) for i in range(2)), lists], schema=FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(image_id, pa.int64()), pa.array(corner, pa.int32()), pa.array(_placed(x, y, angle, scale)), *(pa.array(words[:, i].copy()) for i in range(2)), lists], schema=FOUND)
 
 
 def _matches(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Close pairs of two images in each bucket of rows, sorted by bucket; of sides 1 and 2 only across."""
-    bucket, side, image_id, corner, x, y, angle, scale, d0, d1 = rows
+    bucket, image_id, corner, place, d0, d1 = rows
+    side, x, y, angle, scale = _place(place)
     at, d = np.arange(len(bucket) - 1), 1
     held, size = [], 0
     while len(at):
@@ -159,10 +182,11 @@ def _matches(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         i, j = i[good], j[good]
         swap = image_id[i] > image_id[j]
         a, b = np.where(swap, j, i), np.where(swap, i, j)
-        turn, by = angle[b].astype(float) - angle[a], scale[a].astype(float) / scale[b]
+        turn, by = angle[b] - angle[a], scale[a] / scale[b]
         cos, sin = np.cos(turn), np.sin(turn)
         dx, dy = x[b] - by * (cos * x[a] - sin * y[a]), y[b] - by * (sin * x[a] + cos * y[a])
-        held.append((image_id[a], image_id[b], corner[b], turn, np.rint(2 * np.log2(by)).astype(np.int32), dx, dy))
+        halves = [np.floor(z).astype(np.int32) for z in (turn * (TURNS / math.pi), np.rint(2 * np.log2(by)), dx * (2 / SHIFT), dy * (2 / SHIFT))]
+        held.append((image_id[a], image_id[b], corner[b], *halves))
         size += len(a)
         d += 1
         if size and (size > 50_000 or not len(at)):
@@ -201,22 +225,22 @@ def image_copies(images: DataFrame) -> DataFrame:
     classes = usable.groupBy("sha").agg(F.min("image_id").alias("rep"), F.count("*").alias("copies"), F.first("image").alias("image"))
     found = materialize(arrow_map(classes.select(F.col("rep").alias("image_id"), "image"), _describe, FOUND_SQL))
     keyed = found.select("*", F.posexplode("keys").alias("table", "key")).drop("keys")
-    large = keyed.groupBy("table", "key").count().where(F.col("count") > TILE).select("table", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    large = materialize(keyed.groupBy("table", "key").count().where(F.col("count") > TILE).select("table", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
     # rows of a large bucket go to all pairs of their tile with another, so no task holds a bucket
-    dealt = keyed.join(F.broadcast(large), ["table", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    few = F.broadcast(large) if large.count() <= HOT_BUCKETS else large
+    dealt = keyed.join(few, ["table", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("image_id", "corner"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("int")
-    tiled = dealt.select(F.xxhash64("table", "key", F.least("tile", "other"), F.greatest("tile", "other")).alias("bucket"), side.alias("side"), *(f.name for f in FOUND if f.name != "keys"))
+    side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("long")
+    tiled = dealt.select(F.xxhash64("table", "key", F.least("tile", "other"), F.greatest("tile", "other")).alias("bucket"), "image_id", "corner", F.col("place").bitwiseOR(F.shiftleft(side, 60)).alias("place"), "d0", "d1")
     met = tiled.repartition(partitions(images.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET_SQL)
     half = F.explode(F.array(*(F.struct(F.lit(gx).alias("x"), F.lit(gy).alias("y"), F.lit(gt).alias("t")) for gx in (0, 1) for gy in (0, 1) for gt in (0, 1)))).alias("grid")
-    step = 2 * math.pi / TURNS
     # a pair has at most as many matches as corners squared, and most pairs too few to agree
     votes = met.groupBy("a", "b").agg(F.collect_set(F.struct("corner", "turn", "size", "dx", "dy")).alias("votes")).where(F.size("votes") >= VOTES)
     votes = votes.select("a", "b", F.explode("votes").alias("v")).select("a", "b", "v.*").select("*", half)
     binned = votes.groupBy(
         "a", "b", "size", "grid",
-        F.pmod(F.floor(F.col("turn") / step + F.col("grid.t") / 2), F.lit(TURNS)).alias("turn"),
-        *(F.floor(F.col(f"d{c}") / SHIFT + F.col(f"grid.{c}") / 2).alias(f"d{c}") for c in "xy"),
+        F.pmod(F.floor((F.col("turn") + F.col("grid.t")) / 2), F.lit(TURNS)).alias("turn"),
+        *(F.floor((F.col(f"d{c}") + F.col(f"grid.{c}")) / 2).alias(f"d{c}") for c in "xy"),
     )
     links = materialize(binned.agg(F.count_distinct("corner").alias("n")).where(F.col("n") >= VOTES).select("a", "b").distinct())
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).count()
