@@ -23,7 +23,7 @@ from .common import arrow_map, components, materialize, partitions, release
 SCALES, CORNERS = (1.0, 0.7071, 0.5), (20, 12, 8)
 CELL = 64
 TABLES, KEY_BITS = 6, 48
-#: Of the 128 bits that travel with a key, so many may differ.
+#: Of the first 128 bits of two descriptors, so many may differ.
 HAMMING, VOTES = 28, 4
 PATCH = 9
 #: Rows of a bucket that meet in one task.
@@ -33,15 +33,20 @@ SHIFT, TURNS = 8, 12
 _rng = np.random.default_rng(11)
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2, (256, 4)), -PATCH, PATCH)
 _BITS = np.stack([_rng.permutation(256)[:KEY_BITS] for _ in range(TABLES)])
+#: The bits of each table's key, packed as descriptors are.
+_MASKS = np.packbits((np.arange(256)[None, None, :] == _BITS[:, :, None]).any(1), axis=1).view(np.int64)
+WORDS = ("d0", "d1", "d2", "d3")
 
 #: A corner's place is one long: x and y in eighths of a pixel, the angle in 2**14 parts of a turn, the scale's number and,
 #: from bit 60 on, the side of a pair of tiles. Rows are shuffled once for each table, so they are kept narrow.
 UNIT, PLACE_BITS, ANGLE_BITS = 8, 22, 14
-FOUND = pa.schema([("image_id", pa.int64()), ("corner", pa.int32()), ("place", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("keys", pa.list_(pa.int64()))])
-FOUND_SQL = "image_id long, corner int, place long, d0 long, d1 long, keys array<bigint>"
-#: Votes in half bins: both grids follow from them.
-MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("corner", pa.int32()), *[(c, pa.int32()) for c in ("turn", "size", "dx", "dy")]])
-MET_SQL = "a long, b long, corner int, turn int, size int, dx int, dy int"
+FOUND = pa.schema([("image_id", pa.int64()), ("corner", pa.int32()), ("place", pa.int64()), *[(w, pa.int64()) for w in WORDS], ("keys", pa.list_(pa.int64()))])
+FOUND_SQL = "image_id long, corner int, place long, d0 long, d1 long, d2 long, d3 long, keys array<bigint>"
+#: A vote is one long: from the low end the shifts in x and y in half bins (16 bits each, farther ones count as the farthest),
+#: the turn in half bins (5), the change of scale (3) and the corner. Both grids follow from half bins.
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("vote", pa.int64())])
+MET_SQL = "a long, b long, vote long"
+FARTHEST = 1 << 15
 #: So many hot buckets go to the tasks whole; more are joined by a shuffle.
 HOT_BUCKETS = 100_000
 
@@ -164,31 +169,42 @@ def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
     words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
     keys = np.stack([bits[:, own].astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64)) for own in _BITS], 1)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * TABLES, pa.int32()), pa.array(keys.ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(image_id, pa.int64()), pa.array(corner, pa.int32()), pa.array(_placed(x, y, angle, scale)), *(pa.array(words[:, i].copy()) for i in range(2)), lists], schema=FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(image_id, pa.int64()), pa.array(corner, pa.int32()), pa.array(_placed(x, y, angle, scale)), *(pa.array(words[:, i].copy()) for i in range(4)), lists], schema=FOUND)
 
 
 def _matches(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Close pairs of two images in each bucket of rows, sorted by bucket; of sides 1 and 2 only across."""
-    bucket, image_id, corner, place, d0, d1 = rows
+    """Close pairs of two images in each bucket of rows, sorted by bucket; of sides 1 and 2 only across.
+
+    A pair whose keys agree in several tables is made by the first of them alone.
+    """
+    bucket, image_id, slot, place, *words = rows
+    corner, table = slot >> 3, slot & 7
     side, x, y, angle, scale = _place(place)
-    at, d = np.arange(len(bucket) - 1), 1
+    at, lag = np.arange(len(bucket) - 1), 1
     held, size = [], 0
     while len(at):
-        at = at[at + d < len(bucket)]
-        at = at[bucket[at + d] == bucket[at]]
-        i, j = at, at + d
-        far = np.bitwise_count((d0[i] ^ d0[j]).view(np.uint64)).astype(int) + np.bitwise_count((d1[i] ^ d1[j]).view(np.uint64))
+        at = at[at + lag < len(bucket)]
+        at = at[bucket[at + lag] == bucket[at]]
+        i, j = at, at + lag
+        far = sum(np.bitwise_count((d[i] ^ d[j]).view(np.uint64)).astype(int) for d in words[:2])
         good = (far <= HAMMING) & (image_id[i] != image_id[j]) & ((side[i] == 0) | (side[i] != side[j]))
         i, j = i[good], j[good]
+        differ = np.stack([d[i] ^ d[j] for d in words], 1)
+        again = np.zeros(len(i), bool)
+        for t, mask in enumerate(_MASKS):
+            again |= (t < table[i]) & ~(differ & mask).any(1)
+        i, j = i[~again], j[~again]
         swap = image_id[i] > image_id[j]
         a, b = np.where(swap, j, i), np.where(swap, i, j)
         turn, by = angle[b] - angle[a], scale[a] / scale[b]
         cos, sin = np.cos(turn), np.sin(turn)
         dx, dy = x[b] - by * (cos * x[a] - sin * y[a]), y[b] - by * (sin * x[a] + cos * y[a])
-        halves = [np.floor(z).astype(np.int32) for z in (turn * (TURNS / math.pi), np.rint(2 * np.log2(by)), dx * (2 / SHIFT), dy * (2 / SHIFT))]
-        held.append((image_id[a], image_id[b], corner[b], *halves))
+        sx, sy = (np.clip(np.floor(z * (2 / SHIFT)), -FARTHEST, FARTHEST - 1).astype(np.int64) + FARTHEST for z in (dx, dy))
+        turned = np.floor(turn * (TURNS / math.pi)).astype(np.int64) % (2 * TURNS)
+        size_by = np.rint(2 * np.log2(by)).astype(np.int64) + 4
+        held.append((image_id[a], image_id[b], sx | sy << 16 | turned << 32 | size_by << 37 | corner[b].astype(np.int64) << 40))
         size += len(a)
-        d += 1
+        lag += 1
         if size and (size > 50_000 or not len(at)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held), MET)], schema=MET)
             held, size = [], 0
@@ -231,12 +247,14 @@ def image_copies(images: DataFrame) -> DataFrame:
     dealt = keyed.join(few, ["table", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("image_id", "corner"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("long")
-    tiled = dealt.select(F.xxhash64("table", "key", F.least("tile", "other"), F.greatest("tile", "other")).alias("bucket"), "image_id", "corner", F.col("place").bitwiseOR(F.shiftleft(side, 60)).alias("place"), "d0", "d1")
+    tiled = dealt.select(F.xxhash64("table", "key", F.least("tile", "other"), F.greatest("tile", "other")).alias("bucket"), "image_id", (F.col("corner") * 8 + F.col("table")).alias("slot"), F.col("place").bitwiseOR(F.shiftleft(side, 60)).alias("place"), *WORDS)
     met = tiled.repartition(partitions(images.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET_SQL)
     half = F.explode(F.array(*(F.struct(F.lit(gx).alias("x"), F.lit(gy).alias("y"), F.lit(gt).alias("t")) for gx in (0, 1) for gy in (0, 1) for gt in (0, 1)))).alias("grid")
     # a pair has at most as many matches as corners squared, and most pairs too few to agree
-    votes = met.groupBy("a", "b").agg(F.collect_set(F.struct("corner", "turn", "size", "dx", "dy")).alias("votes")).where(F.size("votes") >= VOTES)
-    votes = votes.select("a", "b", F.explode("votes").alias("v")).select("a", "b", "v.*").select("*", half)
+    votes = met.repartition(partitions(images.sparkSession), "a", "b").groupBy("a", "b").agg(F.collect_set("vote").alias("votes")).where(F.size("votes") >= VOTES)
+    part = lambda at, bits: F.shiftright("v", at).bitwiseAND(F.lit((1 << bits) - 1))
+    votes = votes.select("a", "b", F.explode("votes").alias("v"))
+    votes = votes.select("a", "b", part(0, 16).alias("dx"), part(16, 16).alias("dy"), part(32, 5).alias("turn"), part(37, 3).alias("size"), part(40, 24).alias("corner"), half)
     binned = votes.groupBy(
         "a", "b", "size", "grid",
         F.pmod(F.floor((F.col("turn") + F.col("grid.t")) / 2), F.lit(TURNS)).alias("turn"),
