@@ -9,12 +9,13 @@ agree are linked, and links are closed into groups.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import arrow_map, components, materialize, partitions, release
@@ -44,8 +45,11 @@ FOUND = pa.schema([("image_id", pa.int64()), ("corner", pa.int32()), ("place", p
 FOUND_SQL = "image_id long, corner int, place long, d0 long, d1 long, d2 long, d3 long, keys array<bigint>"
 #: A vote is one long: from the low end the shifts in x and y in half bins (16 bits each, farther ones count as the farthest),
 #: the turn in half bins (5), the change of scale (3) and the corner. Both grids follow from half bins.
-MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("vote", pa.int64())])
-MET_SQL = "a long, b long, vote long"
+#: Pairs a, b and their votes travel as packed blocks, each of one of the parts that image pairs are dealt to by a hash.
+BLOCKS = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("block", pa.binary())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: A part has about so many votes at most (their number is bounded by the counts of the buckets), a block comes from so many.
+PART_VOTES, BLOCK_VOTES = 1 << 20, 1 << 21
 FARTHEST = 1 << 15
 #: So many hot buckets go to the tasks whole; more are joined by a shuffle.
 HOT_BUCKETS = 100_000
@@ -172,7 +176,7 @@ def _describe(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(image_id, pa.int64()), pa.array(corner, pa.int32()), pa.array(_placed(x, y, angle, scale)), *(pa.array(words[:, i].copy()) for i in range(4)), lists], schema=FOUND)
 
 
-def _matches(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _matches(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
     """Close pairs of two images in each bucket of rows, sorted by bucket; of sides 1 and 2 only across.
 
     A pair whose keys agree in several tables is made by the first of them alone.
@@ -202,28 +206,119 @@ def _matches(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sx, sy = (np.clip(np.floor(z * (2 / SHIFT)), -FARTHEST, FARTHEST - 1).astype(np.int64) + FARTHEST for z in (dx, dy))
         turned = np.floor(turn * (TURNS / math.pi)).astype(np.int64) % (2 * TURNS)
         size_by = np.rint(2 * np.log2(by)).astype(np.int64) + 4
-        held.append((image_id[a], image_id[b], sx | sy << 16 | turned << 32 | size_by << 37 | corner[b].astype(np.int64) << 40))
+        held.append(np.stack([image_id[a], image_id[b], sx | sy << 16 | turned << 32 | size_by << 37 | corner[b].astype(np.int64) << 40]))
         size += len(a)
         lag += 1
         if size and (size > 50_000 or not len(at)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held), MET)], schema=MET)
+            yield np.concatenate(held, 1)
             held, size = [], 0
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(votes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows a, b, vote as one block for each part, bytes of equal weight side by side."""
+    mixed = (votes[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ votes[1].view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((votes[1], votes[0], part))
+    part, votes = part[order], votes[:, order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    codec, blocks = pa.Codec("zstd", 1), []
+    for lo, hi in zip(starts, np.r_[starts[1:], len(part)]):
+        a, b, vote = votes[:, lo:hi]
+        rows = np.stack([np.diff(a, prepend=0), b - a, vote])
+        blocks.append(codec.compress(np.ascontiguousarray(rows.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True))
+    sizes = np.diff(np.r_[starts, len(part)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(sizes), pa.array(blocks, pa.binary())], schema=BLOCKS)
+
+
+def _unpacked(n: int, block: bytes) -> np.ndarray:
+    plain = pa.Codec("zstd").decompress(block, 24 * n, asbytes=True)
+    a, b, vote = np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(8, -1).T).view(np.int64).reshape(3, n)
+    a = np.cumsum(a)
+    return np.stack([a, a + b, vote])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Marks the first of equal neighbours."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _agreed(votes: np.ndarray) -> np.ndarray:
+    """The pairs a, b for which VOTES corners fall into one bin of some grid, from all their votes."""
+    votes = votes[:, np.lexsort(votes[::-1])]
+    a, b, vote = votes[:, _starts(*votes)]
+    first = _starts(a, b)
+    pair = np.cumsum(first) - 1
+    a, b = a[first], b[first]
+    # most pairs have too few votes to agree
+    enough = np.bincount(pair, minlength=len(a))[pair] >= VOTES
+    pair, vote = pair[enough], vote[enough]
+    part = lambda at, bits: vote >> at & (1 << bits) - 1
+    dx, dy, turn, size, corner = part(0, 16), part(16, 16), part(32, 5), part(37, 3), vote >> 40
+    linked = np.zeros(len(a), bool)
+    for gx, gy, gt in itertools.product((0, 1), repeat=3):
+        bin_ = size << 38 | (turn + gt) // 2 % TURNS << 34 | (dy + gy) // 2 << 17 | (dx + gx) // 2
+        order = np.lexsort((corner, bin_, pair))
+        p, k, c = pair[order], bin_[order], corner[order]
+        once = _starts(p, k, c)
+        p, k = p[once], k[once]
+        starts = np.flatnonzero(_starts(p, k))
+        linked[p[starts][np.diff(np.r_[starts, len(p)]) >= VOTES]] = True
+    return np.stack([a[linked], b[linked]])
+
+
+def _meeting(parts: int):
     """All close pairs of each bucket; the last bucket of a batch waits for the next batch."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from _matches([c[:cut] for c in rows])
+            held = [c[cut:].copy() for c in rows]
         if held is not None:
-            rows = [np.concatenate(c) for c in zip(held, rows)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))
-        yield from _matches([c[:cut] for c in rows])
-        held = [c[cut:].copy() for c in rows]
-    if held is not None:
-        yield from _matches(held)
+            yield from _matches(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for votes in found(batches):
+            held.append(votes)
+            size += votes.shape[1]
+            if size >= BLOCK_VOTES:
+                yield _packed(np.concatenate(held, 1), parts)
+                held, size = [], 0
+        if size:
+            yield _packed(np.concatenate(held, 1), parts)
+        release()
+
+    return meet
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each part, from blocks sorted by part."""
+
+    def links() -> pa.RecordBatch:
+        pairs = _agreed(np.concatenate(held, 1))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=LINKS)
+
+    held: list[np.ndarray] = []
+    now = None
+    for batch in batches:
+        for part, n, block in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and part != now:
+                yield links()
+                held = []
+            now = part
+            held.append(_unpacked(n, block))
+    if held:
+        yield links()
     release()
 
 
@@ -241,26 +336,19 @@ def image_copies(images: DataFrame) -> DataFrame:
     classes = usable.groupBy("sha").agg(F.min("image_id").alias("rep"), F.count("*").alias("copies"), F.first("image").alias("image"))
     found = materialize(arrow_map(classes.select(F.col("rep").alias("image_id"), "image"), _describe, FOUND_SQL))
     keyed = found.select("*", F.posexplode("keys").alias("table", "key")).drop("keys")
-    large = materialize(keyed.groupBy("table", "key").count().where(F.col("count") > TILE).select("table", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
+    meetings = Observation()
+    counts = keyed.groupBy("table", "key").count().observe(meetings, F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("n"))
+    large = materialize(counts.where(F.col("count") > TILE).select("table", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
     # rows of a large bucket go to all pairs of their tile with another, so no task holds a bucket
     few = F.broadcast(large) if large.count() <= HOT_BUCKETS else large
     dealt = keyed.join(few, ["table", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("image_id", "corner"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).cast("long")
     tiled = dealt.select(F.xxhash64("table", "key", F.least("tile", "other"), F.greatest("tile", "other")).alias("bucket"), "image_id", (F.col("corner") * 8 + F.col("table")).alias("slot"), F.col("place").bitwiseOR(F.shiftleft(side, 60)).alias("place"), *WORDS)
-    met = tiled.repartition(partitions(images.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET_SQL)
-    half = F.explode(F.array(*(F.struct(F.lit(gx).alias("x"), F.lit(gy).alias("y"), F.lit(gt).alias("t")) for gx in (0, 1) for gy in (0, 1) for gt in (0, 1)))).alias("grid")
-    # a pair has at most as many matches as corners squared, and most pairs too few to agree
-    votes = met.repartition(partitions(images.sparkSession), "a", "b").groupBy("a", "b").agg(F.collect_set("vote").alias("votes")).where(F.size("votes") >= VOTES)
-    part = lambda at, bits: F.shiftright("v", at).bitwiseAND(F.lit((1 << bits) - 1))
-    votes = votes.select("a", "b", F.explode("votes").alias("v"))
-    votes = votes.select("a", "b", part(0, 16).alias("dx"), part(16, 16).alias("dy"), part(32, 5).alias("turn"), part(37, 3).alias("size"), part(40, 24).alias("corner"), half)
-    binned = votes.groupBy(
-        "a", "b", "size", "grid",
-        F.pmod(F.floor((F.col("turn") + F.col("grid.t")) / 2), F.lit(TURNS)).alias("turn"),
-        *(F.floor((F.col(f"d{c}") + F.col(f"grid.{c}")) / 2).alias(f"d{c}") for c in "xy"),
-    )
-    links = materialize(binned.agg(F.count_distinct("corner").alias("n")).where(F.col("n") >= VOTES).select("a", "b").distinct())
+    tasks = partitions(images.sparkSession)
+    parts = int(min(max(4 * tasks, (meetings.get["n"] or 0) // PART_VOTES + 1), 1 << 30))
+    met = tiled.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting(parts), "part int, n int, block binary")
+    links = materialize(met.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_tally, "a long, b long"))
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).count()
     members = usable.select("image_id", "sha").join(classes.select("sha", "rep", "copies"), "sha")
     groups = components(links.unionByName(members.where("rep <> image_id").select(F.col("rep").alias("a"), F.col("image_id").alias("b"))))
