@@ -295,3 +295,30 @@ def test_canopies_join_what_is_close_to_a_dropped_row():
     forest = common.Forest()
     minhash_dedup._Canopies().add(np.arange(3), np.stack([pivot, x, y]).view(np.int64), forest)
     assert forest.find(1) == forest.find(2)
+
+
+def test_image_votes_in_blocks_agree_with_brute_force():
+    r = np.random.default_rng(5)
+    n = 4000
+    a = r.integers(-3, 3, n) * 10**12
+    votes = np.stack([a, a + 1 + r.integers(0, 5, n), r.integers(0, 8, n) + 32768 | r.integers(0, 8, n) + 32768 << 16 | r.integers(0, 24, n) << 32 | r.integers(3, 5, n) << 37 | r.integers(0, 30, n) << 40])
+    votes = np.concatenate([votes, votes[:, :50]], 1)
+    parts = [(p, copies._unpacked(m, b)) for p, m, b in zip(*(c.to_pylist() for c in copies._packed(votes, 7).columns))]
+    assert sorted(map(tuple, np.concatenate([x for _, x in parts], 1).T.tolist())) == sorted(map(tuple, votes.T.tolist()))
+    pairs = [{tuple(x) for x in part[:2].T.tolist()} for _, part in parts]
+    assert sum(map(len, pairs)) == len(set().union(*pairs))  # a pair lies in one part
+    bins: dict = {}
+    for a, b, v in votes.T.tolist():
+        for g in range(8):
+            x, y, t = ((v & 65535) + (g & 1)) // 2, ((v >> 16 & 65535) + (g >> 1 & 1)) // 2, ((v >> 32 & 31) + (g >> 2)) // 2 % copies.TURNS
+            bins.setdefault((a, b, g, x, y, t, v >> 37 & 7), set()).add(v >> 40)
+    want = {k[:2] for k, corners in bins.items() if len(corners) >= copies.VOTES}
+    got = [tuple(x) for _, part in parts for x in copies._agreed(part).T.tolist()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(set().union(*pairs))
+
+
+def test_places_of_corners_survive_packing():
+    x, y, angle, scale = np.array([0.0, 12.5, 90000.0]), np.array([3.0, 0.125, 7.0]), np.array([-3.1, 0.0, 3.1]), np.array([1.0, 0.5, 0.7071])
+    side, px, py, turn, by = copies._place(copies._placed(x, y, angle, scale) | np.array([0, 1, 2]) << 60)
+    assert side.tolist() == [0, 1, 2] and px.tolist() == x.tolist() and py.tolist() == y.tolist() and by.tolist() == scale.tolist()
+    assert np.abs(np.sin((turn - angle) / 2)).max() < 2e-4
