@@ -31,6 +31,8 @@ SCHEMA = "source string, record_no long, header string, seq string, qual string"
 ARROW = pa.schema([("source", pa.string()), ("record_no", pa.int64()), ("header", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
 READ, BATCH = 1 << 20, 8 << 20
 SPLIT = 128 << 20
+#: Neighbouring ranges are read by one task, so that short ranges don't make a task each: tasks of a scan, up to TASK_BYTES a task.
+TASKS, TASK_BYTES = 128, 32 << 20
 #: Shorter files are taken for empty.
 EMPTY_BYTES = 5
 #: Standard input and pipes are copied to files of this ending, to which that rule does not apply.
@@ -94,14 +96,16 @@ class FastxReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for path in self.paths:
-            size = os.path.getsize(path)
+        sizes = {path: os.path.getsize(path) for path in self.paths}
+        ranges = max(1, min(sum(sizes.values()) // TASKS, TASK_BYTES) // self.split)  # of one task
+        step = ranges * self.split
+        for path, size in sizes.items():
             with open(path, "rb") as f:
                 plain = f.read(1) in (b">", b"@")
             if self.ordinals or not plain or size <= self.split:
                 out.append(_Part(path, 0, None))
             else:
-                out += [_Part(path, at, min(size, at + self.split)) for at in range(0, size, self.split)]
+                out += [_Part(path, at, min(size, at + step)) for at in range(0, size, step)]
         return out
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
