@@ -6,7 +6,6 @@ conversations are mates of pairs. Texts become DNA by a fixed letter map.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +20,7 @@ from .operators.filtering import counters, rename
 from .operators.frozen import freeze, slot
 from .operators.minimizers import arrow_minimizers, sql_minimizers
 from .params import FilterParams, KmerParams
+from .scratch import scratch
 from .sources.fastx import interleaved
 from .streaming.sessions import filter_stream
 
@@ -43,17 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where all tasks run in this process."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def reads(spark: SparkSession, sf_dir: str, ambiguous: bool = False) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_no"), F.concat(F.lit("doc"), F.col("doc_id")).alias("header"), dna(F.col("text"), ambiguous).alias("seq"))
 

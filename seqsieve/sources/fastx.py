@@ -12,9 +12,11 @@ import gzip
 import io
 import lzma
 import os
+import shutil
 import stat
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.sequence import format_record
 from ..params import check_level
+from ..scratch import scratch
 from .parser import ChunkParser, Record
 
 SCHEMA = "source string, record_no long, header string, seq string, qual string"
@@ -250,38 +253,74 @@ def open_writer(path: str, level: int | None = None):
     return open(path, "wb")
 
 
-def write_file(texts: DataFrame, path: str, level: int | None = None) -> None:
-    """Texts (one column, in order) to one file; they pass the driver one partition at a time."""
-    out = io.BufferedWriter(sys.stdout.buffer.raw if hasattr(sys.stdout.buffer, "raw") else sys.stdout.buffer) if path == "-" else open_writer(path, level)
-    try:
-        for row in texts.toLocalIterator():
-            out.write(row[0].encode() + b"\n")
-    finally:
-        out.flush() if path == "-" else out.close()
-
-
-def write_parts(texts: DataFrame, folder: str, codec: str | None = None, level: int | None = None) -> None:
-    """Texts to a folder with one file a partition: plain and gzip by Spark's writer, zstd, xz and gzip of a given level by the tasks."""
-    if codec is None or (codec == "gzip" and level is None):
-        texts.write.mode("overwrite").option("compression", codec or "none").text(folder)
-        return
-    suffix = {"gzip": ".gz", "zstd": ".zst", "xz": ".xz"}[codec]
-    os.makedirs(folder, exist_ok=True)
+def _write_tasks(texts: DataFrame, folder: str, suffix: str, level: int | None, empty: bool) -> DataFrame:
+    """(part, path) of the files that the tasks write, one a partition; where `empty` is false, none of partitions without rows."""
 
     def write(batches):
         from pyspark import TaskContext
 
         # a task that runs twice leaves one file, under its name only when whole
-        path = f"{folder}/part-{TaskContext.get().partitionId():05d}"
+        part, out = TaskContext.get().partitionId(), None
+        path = f"{folder}/part-{part:05d}"
         made = f"{path}.{TaskContext.get().taskAttemptId()}{suffix}"
-        with open_writer(made, level) as out:
+        try:
             for batch in batches:
+                if out is None and batch.num_rows:
+                    out = open_writer(made, level)
                 for text in batch.column(0).to_pylist():
                     out.write(text.encode() + b"\n")
-        os.replace(made, path + suffix)
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], names=["done"])
+            if out is None and empty:
+                out = open_writer(made, level)
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            os.replace(made, path + suffix)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path + suffix])], names=["part", "path"])
+
+    os.makedirs(folder, exist_ok=True)
+    return texts.mapInArrow(write, "part int, path string")
+
 
-    texts.mapInArrow(write, "done int").count()
+def write_file(texts: DataFrame, path: str, level: int | None = None) -> None:
+    """Texts (one column, in order) to one file.
+
+    The tasks write a file a partition in the shared folder, and the driver joins their bytes: gzip members, zstd frames
+    and xz streams may follow each other. Only where that folder is no mounted one do texts pass the driver, a partition
+    at a time.
+    """
+    if (codec := codec_of(path)) and level is not None:
+        check_level(codec, level)
+    shared = scratch(texts.sparkSession).removeprefix("file:")
+    mounted = "://" not in shared
+    to_stdout = path == "-"
+    if to_stdout:
+        out = io.BufferedWriter(sys.stdout.buffer.raw if hasattr(sys.stdout.buffer, "raw") else sys.stdout.buffer)
+    else:
+        out = open(path, "wb") if mounted else open_writer(path, level)
+    try:
+        if not mounted:
+            for row in texts.toLocalIterator():
+                out.write(row[0].encode() + b"\n")
+            return
+        folder = f"{shared}/{uuid.uuid4().hex}"
+        written = sorted(_write_tasks(texts, folder, os.path.splitext(path)[1] if codec else "", level, False).collect())
+        for _, part in written:
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out, BATCH)
+            os.remove(part)
+        if codec and not written:
+            open_writer(path, level).close()
+    finally:
+        out.flush() if to_stdout else out.close()
+
+
+def write_parts(texts: DataFrame, folder: str, codec: str | None = None, level: int | None = None) -> None:
+    """Texts to a folder with one file a partition: plain and gzip by Spark's writer, zstd, xz and gzip of a given level by the tasks."""
+    if codec is None or (codec == "gzip" and level is None):
+        texts.write.mode("overwrite").option("compression", codec or "none").text(folder)
+        return
+    _write_tasks(texts, folder, {"gzip": ".gz", "zstd": ".zst", "xz": ".xz"}[codec], level, True).count()
 
 
 def mates(pairs: DataFrame, fasta: bool = False) -> DataFrame:

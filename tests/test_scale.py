@@ -1,5 +1,9 @@
 """What a larger table must not do: make a task of every short range, pass through the driver, pile up in a task."""
 
+import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from seqsieve.sources import fastx
 
 
@@ -13,3 +17,21 @@ def test_short_ranges_share_tasks(tmp_path, monkeypatch):
     assert 8 <= len(parts) <= 10
     assert [x["header"] for x in got] == [f"r{i}" for i in range(3000)]
     assert all(len(x["seq"]) == len(x["qual"]) == 4 * (i % 9) for i, x in enumerate(got))
+
+
+@pytest.mark.parametrize("ending", ["", ".gz", ".zst", ".xz"])
+def test_one_file_does_not_pass_the_driver(spark, tmp_path, monkeypatch, ending):
+    def refused(*_):
+        raise AssertionError("rows pass the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", refused)
+    rows = spark.range(5000).repartition(7).select(F.col("id"), F.concat(F.lit(">"), "id", F.lit("\nACGT")).alias("value"))
+    path = f"{tmp_path}/x.fa{ending}"
+    fastx.write_file(rows.sort("id").select("value"), path)
+    with fastx.open_bytes(path) as f:
+        assert f.read() == b"".join(b">%d\nACGT\n" % i for i in range(5000))
+    fastx.write_file(rows.where("id < 0").select("value"), path)
+    with fastx.open_bytes(path) as f:
+        assert f.read() == b""
+    assert fastx.is_empty(path)
