@@ -9,7 +9,9 @@ SQL engine can replay them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import md5
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,12 @@ def slot(kmer: Column, key_count: int, bits: int) -> list[Column]:
     return [bucket.alias("bucket"), F.conv(digest.substr(17, bits // 4), 16, 10).cast("long").alias("fp")]
 
 
+def slots(kmers: list[bytes], key_count: int, bits: int) -> list[np.ndarray]:
+    """As slot, of bases in memory."""
+    digest = np.frombuffer(b"".join(md5(x).digest() for x in kmers), ">u8").reshape(-1, 2).astype(np.uint64)
+    return [((digest[:, 0] >> np.uint64(4)) % np.uint64(max(1, key_count))).astype(np.int64), (digest[:, 1] >> np.uint64(64 - bits)).astype(np.int64)]
+
+
 def freeze(index: MinimizerIndex, bits: int = 32) -> FrozenIndex:
     if not isinstance(index, MinimizerIndex):
         raise FrozenIndexError("the index is frozen already")

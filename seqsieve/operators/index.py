@@ -16,6 +16,10 @@ from ..params import FORMAT_VERSION, KmerParams
 from .minimizers import arrow_minimizers
 
 
+#: K-mers in an index that other k-mers are matched against in the tasks, before they travel.
+SMALL_KMERS = 1_000_000
+
+
 class FrozenIndexError(ValueError):
     """The operation needs an exact index."""
 
@@ -109,7 +113,11 @@ def subtract(first: MinimizerIndex, second: MinimizerIndex) -> MinimizerIndex:
         raise ValueError(f"difference needs equal k, got {first.params.k} and {second.params.k}")
     if second.params.w not in (1, first.params.w):
         raise ValueError(f"difference needs equal w, or 1 for the second index, got {first.params.w} and {second.params.w}")
-    return MinimizerIndex(first.kmers.join(second.kmers, "kmer", "left_anti"), first.params, first.version)
+    other = second.kmers
+    if first.kmers.limit(SMALL_KMERS + 1).count() <= SMALL_KMERS:
+        # of the second only what the first holds is of use; this filter also passes below the second's own distinct
+        other = other.join(F.broadcast(first.kmers), "kmer", "left_semi")
+    return MinimizerIndex(first.kmers.join(other, "kmer", "left_anti"), first.params, first.version)
 
 
 def subtract_records(first: MinimizerIndex, records: DataFrame, k: int | None = None, w: int | None = None, seq: str = "seq") -> MinimizerIndex:

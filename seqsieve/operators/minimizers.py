@@ -116,6 +116,32 @@ def pack_at(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(fwd, rev).view(np.int64)
 
 
+def words_at(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """Smaller strand of the k-mers at positions as one long (k up to 31), or as two, of its first 31 bases and the rest."""
+    if k <= 31:
+        return [pack_at(data, at, k)]
+
+    def packed(places, codes) -> np.ndarray:
+        out = np.zeros(len(at), np.int64)
+        for i in places:
+            out = (out << 2) | codes(i)
+        return out
+
+    fwd = lambda i: _BASE[data[at + i]].view(np.int64)
+    rev = lambda i: 3 - _BASE[data[at + k - 1 - i]].view(np.int64)
+    (a, b), (c, d) = ((packed(range(31), codes), packed(range(31, k), codes)) for codes in (fwd, rev))
+    forward = (a < c) | ((a == c) & (b <= d))
+    return [np.where(forward, a, c), np.where(forward, b, d)]
+
+
+def spell_words(words: list[np.ndarray], k: int) -> list[bytes]:
+    """Bases of packed k-mers."""
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    sizes = [k] if len(words) == 1 else [31, k - 31]
+    text = np.concatenate([letters[(w[:, None] >> np.arange(2 * (n - 1), -1, -2, dtype=np.int64)) & 3] for w, n in zip(words, sizes)], axis=1)
+    return np.ascontiguousarray(text).view(f"S{k}").ravel().tolist()
+
+
 def spell_at(data: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
     """Smaller strand of the k-mers at positions, as strings."""
     fwd = _UPPER[data[at[:, None] + np.arange(k)[None, :]]] if len(at) else np.zeros((0, k), np.uint8)
