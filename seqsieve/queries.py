@@ -21,6 +21,7 @@ from .operators.frozen import freeze, slot
 from .operators.minimizers import arrow_minimizers, sql_minimizers
 from .params import FilterParams, KmerParams
 from .scratch import scratch
+from .sources import index_files
 from .sources.fastx import interleaved
 from .streaming.sessions import filter_stream
 
@@ -360,10 +361,14 @@ def filter_frozen(spark, d):
 SELECT kmer, (bucket, fp) IN (SELECT (bucket, fp) FROM z) AS found FROM (SELECT kmer, {_slot('(SELECT count(*) FROM b)', 16)} FROM p)""")
 def frozen_membership(spark, d):
     """K-mers of two tables against a frozen index of one: all of its own are found, others by chance."""
-    i = index(spark, d, "pages", "html")
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    index_files.save(index(spark, d, "pages", "html"), path)  # minimizers are selected once, and read for keys, count and probe
+    i = index_files.load_exact(spark, path)
     z = freeze(i, 16)
-    probe = kmers(ops.union(index(spark, d), i)).select("kmer", *slot(F.col("kmer"), z.key_count, z.bits))
-    return probe.join(z.table.withColumn("found", F.lit(True)), ["bucket", "fp"], "left").select("kmer", F.coalesce("found", F.lit(False)).alias("found"))
+    both = ops.union(index(spark, d), i)
+    probe = both.kmers.select("kmer", *slot(both.spelled(), z.key_count, z.bits))
+    found = probe.join(z.table.withColumn("found", F.lit(True)), ["bucket", "fp"], "left")
+    return found.select(both.spelled().alias("kmer"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
 # streams
