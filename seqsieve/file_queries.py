@@ -125,13 +125,22 @@ def parse_chunks(spark, d):
     """Records of a byte stream that comes in pieces of seven bytes, one stream a task."""
 
     def parse(batches):
-        stream, rows = ChunkParser(), []
+        stream, rows, held = ChunkParser(), [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([r.header for r in rows], pa.string()), pa.array([r.seq for r in rows], pa.string())], names=["header", "seq"])
+
         for batch in batches:
-            data = "".join(x + "\r\n" for x in batch.column(0).to_pylist()).encode()
-            for at in range(0, len(data), 7):
-                rows += stream.push(data[at : at + 7])
+            for text in batch.column(0):
+                data = (text.as_py() + "\r\n").encode()
+                for at in range(0, len(data), 7):
+                    rows += stream.push(data[at : at + 7])
+                held += len(data)
+                if held > fastx.BATCH:
+                    yield made()
+                    rows, held = [], 0
         rows += stream.finish()
-        yield pa.RecordBatch.from_arrays([pa.array([r.header for r in rows], pa.string()), pa.array([r.seq for r in rows], pa.string())], names=["header", "seq"])
+        yield made()
 
     return _texts(_records(spark, d)).mapInArrow(parse, "header string, seq string")
 
