@@ -3,7 +3,7 @@
 Two engines give the same rows (id, pos, kmer):
 
 * `arrow_minimizers`: NumPy over whole Arrow batches, all records at once; the default.
-* `sql_minimizers`: window functions only, one row a base.
+* `sql_minimizers`: built-in expressions only, arrays over pieces of records.
 
 A window is w consecutive k-mers without an ambiguous base. Its minimizer has the smallest hash;
 equal hashes go to the leftmost k-mer if most of the window's bases are G or T, else to the
@@ -16,13 +16,12 @@ distribute over XOR, so all k-mer hashes are differences of one running XOR over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..params import KmerParams
 
@@ -42,6 +41,8 @@ for _b, _c in PAIR.items():
     _COMPLEMENT[ord(_b)] = ord(_c)
 #: Bases of records handled at once, and windows of them whose hashes are held at once, whatever a record's length.
 CHUNK, PIECE = 1 << 20, 1 << 16
+#: Windows of a piece of the SQL engine, and of the longer ones that these are cut from; places in a piece, a power of 2.
+SQL_PIECE, SQL_BLOCK, SQL_PLACES = 1 << 10, 1 << 17, 1 << 12
 
 
 def _rotl(x: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -202,41 +203,93 @@ def arrow_minimizers(records: DataFrame, params: KmerParams, seq: str = "seq", i
     return records.where(F.length(seq) >= params.span).select(*ids, seq).mapInArrow(run, schema)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _combined(items: Column, n: int, op: Callable[[Column, Column], Column]) -> Column:
+    """Of each n neighbours of an array, by doubling; the last n - 1 are null."""
+    shifted = lambda a, by: F.slice(a, F.lit(by + 1), F.size(a))
+
+    def step(power: Column, size: int, done: Column | None, at: int) -> Column:
+        if n & size:
+            done, at = power if done is None else F.zip_with(done, shifted(power, at), op), at + size
+        if 2 * size > n:
+            return done
+        double = lambda done: _let(F.zip_with(power, shifted(power, size), op), lambda power: step(power, 2 * size, done, at))
+        return double(None) if done is None else _let(done, double)
+
+    return _let(items, lambda items: step(items, 1, None, 0))
+
+
+def _cut(rows: DataFrame, ids: tuple[str, ...], span: int, size: int) -> DataFrame:
+    """Texts of `size` windows, (ids, from_, to_, text_) to the same; all but a record's first hold the window before theirs, too."""
+    rows = rows.withColumn("at_", F.explode(F.sequence("from_", "to_", F.lit(size))))
+    begin = lambda c: F.greatest(F.col(c) - 1, F.lit(0))
+    to = F.least(F.col("to_"), F.col("at_") + (size - 1))
+    text = F.substr("text_", begin("at_") - begin("from_") + 1, to - begin("at_") + span)
+    return rows.select(*ids, F.col("at_").alias("from_"), to.alias("to_"), text.alias("text_"))
+
+
 def sql_minimizers(records: DataFrame, params: KmerParams, seq: str = "seq", ids: tuple[str, ...] = ("record_no",)) -> DataFrame:
-    """(ids, pos, kmer as string) by window functions that share one exchange and sort; ids must be unique and not null."""
+    """(ids, pos, kmer as string) by built-in expressions alone: arrays over pieces of records, and one row a window that nothing shuffles.
+
+    Pieces travel once, so that records of any length and files of any layout are shared out evenly.
+    """
     k, w, span = params.k, params.w, params.span
-    code = lambda t: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b in "ACGT" for x in (b, t[b])]), F.col("base")), F.lit(0))
-    def bits(a: Column, b: Column) -> Column:
-        return a.bitwiseXOR(b)
-
-    bases = records.where(F.length(seq) >= span).select(*ids, F.posexplode(F.split(F.upper(seq), "")).alias("p", "base")).where("base <> ''")
-    bases = bases.withColumn("p", F.col("p").cast("long")).withColumn("f", code(CODE).cast("long")).withColumn("c", code({b: CODE[PAIR[b]] for b in PAIR}).cast("long"))
-    bases = bases.withColumn("rf", _rot("f", "-p")).withColumn("rc", _rot("c", "p"))
-    order = Window.partitionBy(*ids).orderBy("p")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    bases = bases.withColumn("pf", F.bit_xor("rf").over(run)).withColumn("pr", F.bit_xor("rc").over(run))
-    frame = order.rowsBetween(0, span - 1)
-    step = bases.select(
-        *ids, "p",
-        bits(F.lead("pf", k - 1).over(order), F.coalesce(F.lag("pf").over(order), F.lit(0))).alias("xf"),
-        bits(F.lead("pr", k - 1).over(order), F.coalesce(F.lag("pr").over(order), F.lit(0))).alias("xr"),
-        F.sum(F.when(F.col("base").isin(*"ACGT"), 0).otherwise(1)).over(frame).alias("amb"),
-        F.sum(F.when(F.col("base").isin("G", "T"), 1).otherwise(0)).over(frame).alias("gt"),
-        F.count("*").over(frame).alias("n"),
-    )
-    step = step.withColumn("h", (_rot("xf", f"p + {k - 1}") + _rot("xr", "-p")).bitwiseAND(F.lit(M32).cast("long")))
-    near = order.rowsBetween(0, w - 1)
-    step = step.select(*ids, "p", "amb", "gt", "n", F.min(F.struct("h", "p")).over(near).alias("lo"), F.min(F.struct("h", (-F.col("p")).alias("q"))).over(near).alias("hi"))
-    step = step.where((F.col("n") == span) & (F.col("amb") == 0)).withColumn("m", F.when(2 * F.col("gt") > span, F.col("lo.p")).otherwise(-F.col("hi.q")))
-    step = step.withColumn("prev", F.lag("m").over(order)).where("prev is null or prev <> m")
-    # bases travel alone; the sequence joins the few rows that are left
-    step = step.select(*ids, "m").join(records.select(*ids, F.col(seq).alias("seq_")), list(ids))
-    kmer = F.upper(F.col("seq_").substr(F.col("m").cast("int") + 1, F.lit(k)))
-    return step.select(*ids, F.col("m").cast("int").alias("pos"), F.least(kmer, F.translate(F.reverse(kmer), "ACGT", "TGCA")).alias("kmer"))
-
-
-def _rot(x: str, n: str) -> Column:
-    """Left rotation of 32 bits held in a long."""
-    left = F.expr(f"shiftleft({x}, cast(pmod({n}, 32) as int))")
-    right = F.expr(f"shiftrightunsigned({x}, cast(32 - pmod({n}, 32) as int))")
-    return left.bitwiseOR(right).bitwiseAND(F.lit(M32).cast("long"))
+    session = records.sparkSession
+    tasks = max(2 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    rows = records.select(*ids, F.lit(0).alias("from_"), F.upper(seq).alias("text_"))
+    rows = rows.where(F.length("text_") >= span).withColumn("to_", F.length("text_") - span)
+    rows = _cut(_cut(rows, ids, span, SQL_BLOCK), ids, span, SQL_PIECE).repartition(tasks, *ids, "from_")
+
+    unknown = F.col("text_").rlike("[^ACGT]")
+    known = F.when(unknown, F.regexp_replace("text_", "[^ACGT]", "A")).otherwise(F.col("text_"))
+    flags = lambda text, ones: F.split(F.translate(text, "ACGT", ones), "").cast("array<int>")
+    # codes of both strands in one long, turned by their place; the XOR of k of them is turned back by the k-mer's place
+    table = F.array(*[F.lit(int(np.array((_turned(CODE[b], -i) << 32) | _turned(CODE[PAIR[b]], i), np.uint64).view(np.int64))) for i in range(32) for b in "ACGT"])
+    coded = F.transform(flags(known, "0123"), lambda c, i: F.get(table, i.bitwiseAND(F.lit(31)) * 4 + c))
+    m32 = F.lit(M32).cast("long")
+    high, low = (F.lit(x).cast("long") for x in (-1 << 32, SQL_PLACES - 1))
+
+    def hashed(x: Column, i: Column) -> Column:
+        """Hash above the place."""
+        both = lambda a, by: F.call_function("shiftrightunsigned", a, by).bitwiseAND(m32)
+        forward = both(x.bitwiseAND(high).bitwiseOR(F.shiftrightunsigned(x, 32)), 32 - (i + (k - 1)).bitwiseAND(F.lit(31)))
+        back = both(F.shiftleft(x, 32).bitwiseOR(x.bitwiseAND(m32)), i.bitwiseAND(F.lit(31)))
+        return ((forward + back).bitwiseAND(m32) * SQL_PLACES).bitwiseOR(i.cast("long"))
+
+    xor, plus = (lambda a, b: a.bitwiseXOR(b)), (lambda a, b: a + b)
+    hashes = F.transform(F.slice(_combined(coded, k, xor), F.lit(1), F.length("text_") - (k - 1)), hashed)
+    # strands matter only where equal hashes meet
+    tied = lambda left: F.size(F.array_distinct(F.transform(left, lambda x: F.shiftright(x, SQL_PLACES.bit_length() - 1)))) < F.size(left)
+    arrays = _let(
+        hashes,
+        lambda left: _let(
+            tied(left),
+            lambda t: F.struct(
+                left.alias("left"), t.alias("tied"), F.when(t, F.transform(left, lambda x: x.bitwiseXOR(low))).alias("right"), F.when(t, _combined(flags(known, "0011"), span, plus)).alias("gt")
+            ),
+        ),
+    )
+    bad = F.when(unknown, _combined(flags(F.regexp_replace("text_", "[^ACGT]", "1"), "0000"), span, plus))
+    first = F.when(F.col("from_") > 0, 1).otherwise(0)
+    rows = rows.select(*ids, F.col("from_") - first, first, "text_", arrays, bad).toDF(*ids, "begin_", "first_", "text_", "a_", "bad_")
+    rows = rows.select(*ids, "begin_", "first_", "text_", "a_", "bad_", F.explode(F.sequence("first_", F.length("text_") - span)).alias("i_"))
+
+    def chosen(i: Column) -> Column:
+        least = lambda side: F.array_min(F.slice(F.col(f"a_.{side}"), i + 1, F.lit(w))).bitwiseAND(low)
+        return F.when(F.col("a_.tied") & (2 * F.get("a_.gt", i) <= span), low - least("right")).otherwise(least("left")).cast("int")
+
+    whole = lambda i: F.col("bad_").isNull() | (F.get("bad_", i) == 0)
+    i = F.col("i_")
+    # a window behind ambiguous bases has a choice of its own
+    rows = rows.where(whole(i) & ((i == 0) | ~whole(i - 1) | (chosen(i) != chosen(i - 1)))).withColumn("m_", chosen(i))
+    kmer = F.substr("text_", F.col("m_") + 1, F.lit(k))
+    return rows.select(*ids, (F.col("begin_") + F.col("m_")).alias("pos"), F.least(kmer, F.translate(F.reverse(kmer), "ACGT", "TGCA")).alias("kmer"))
+
+
+def _turned(x: int, n: int) -> int:
+    """Left rotation of 32 bits."""
+    return ((x << n % 32) | (x >> 32 - n % 32)) & M32

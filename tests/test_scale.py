@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brute import minimizers
 from seqsieve.operators import index as ops
+from seqsieve.operators import minimizers as M
 from seqsieve.operators.classify import classify
 from seqsieve.operators.frozen import freeze
 from seqsieve.params import KmerParams
@@ -87,3 +88,16 @@ def test_parser_keeps_long_lines_in_pieces():
         stream.push(data[at : at + 7])
     assert len(stream.finish()[0].seq) == 2_100_000
     assert time.process_time() - began < 10  # copying the line at each piece took minutes
+
+
+@pytest.mark.parametrize("k,w", [(31, 15), (5, 5), (32, 14), (61, 35)])
+def test_sql_engine_cuts_records_and_sorts_no_bases(spark, monkeypatch, k, w):
+    monkeypatch.setattr(M, "SQL_PIECE", 64)
+    monkeypatch.setattr(M, "SQL_BLOCK", 200)
+    r = random.Random(5)
+    seqs = ["".join(r.choice("ACGT") for _ in range(1500)), "AC" * 400, "A" * 300, "ACGTTGCA0N-ß" * 40 + SEQS[0] + "nn" + SEQS[1].lower(), "0" * 200, None]
+    seqs += [(SEQS[1][:97] * 6)[:n] for n in (k + w - 2, k + w - 1, k + w + 62, k + w + 63, k + w + 64, k + w + 263)]
+    rows = M.sql_minimizers(spark.createDataFrame(list(enumerate(seqs)), "record_no long, seq string"), KmerParams(k, w))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Window|Join|Sort", plan) and plan.count("Repartition") == 1
+    assert sorted(map(tuple, rows.collect())) == sorted((i, p, m) for i, s in enumerate(seqs) for p, m in minimizers(s or "", k, w))
